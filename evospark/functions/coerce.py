@@ -73,7 +73,7 @@ def finite(col: Column) -> Column:
 
 def not_nan(col: Column) -> Column:
     """Double with NaN turned into NULL (NaN sorts above all numbers in Spark)."""
-    return F.when(~F.isnan(col), col)
+    return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
 
 
 def canonical_index(col: Column) -> Column:
@@ -90,4 +90,4 @@ def canonical_index(col: Column) -> Column:
 
 def index_number(col: Column) -> Column:
     """Numeric value of a text index, NULL when it is not a number."""
-    return not_nan(float_or_null(canonical_index(col)))
+    return not_nan(float_or_null(col))

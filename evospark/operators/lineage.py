@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evospark.functions.coerce import index_number, not_nan
 from evospark.functions.ordering import top_k
@@ -326,7 +327,7 @@ def _two_sided_p(r: float, n: int) -> float | None:
     return 1.0 - front * fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """p-values of per-experiment correlations (one row per experiment)."""
     return pd.Series([_two_sided_p(float(a), int(b)) if pd.notna(a) else None for a, b in zip(r, n)], dtype="float64")

@@ -151,9 +151,13 @@ def select_nodes(nodes: DataFrame, options: NetworkOptions, *, need_sequence: bo
         )
         chosen = chosen.unionByName(close.select(*ids)).distinct()
     kept = pool.join(chosen, ids, "left_semi")
-    return top_k(
-        kept, ["experiment_id"], [F.col("is_top10").desc_nulls_last(), *best_first()], opt.max_nodes
-    ).drop("rank")
+    # The selection is small and every edge builder reads it several times, so
+    # it is written once instead of being scored and ranked again for each use.
+    return cut_lineage(
+        top_k(
+            kept, ["experiment_id"], [F.col("is_top10").desc_nulls_last(), *best_first()], opt.max_nodes
+        ).drop("rank")
+    )
 
 
 def similarity_edges(selected: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -219,7 +223,9 @@ def cooccurrence_edges(selected: DataFrame, mutations: DataFrame, options: Netwo
     of shared labels, the Jaccard index and the phi coefficient."""
     opt = options
     labels = mutation_labels(mutations)
-    mine = labels.join(selected.select("experiment_id", "variant_id"), ["experiment_id", "variant_id"], "left_semi")
+    mine = cut_lineage(
+        labels.join(selected.select("experiment_id", "variant_id"), ["experiment_id", "variant_id"], "left_semi")
+    )
     universe = labels if opt.universe == "all" else mine
     features = (
         universe.select("experiment_id", "label").distinct()
@@ -276,9 +282,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     both = cut_lineage(
         edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     )
-    labels = cut_lineage(
-        nodes.select(F.col("variant_id").alias("node"), F.col("variant_id").alias("component")).distinct()
-    )
+    nodes = cut_lineage(nodes.select("experiment_id", "variant_id").distinct())
+    labels = nodes.select(F.col("variant_id").alias("node"), F.col("variant_id").alias("component"))
     for _ in range(max_rounds):
         heard = (
             both.join(labels.withColumnRenamed("node", "v"), "v")
@@ -300,9 +305,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             break
     else:
         raise RuntimeError("components did not settle within the allowed rounds")
-    return nodes.select("experiment_id", "variant_id").join(
-        labels.withColumnRenamed("node", "variant_id"), "variant_id"
-    )
+    return nodes.join(labels.withColumnRenamed("node", "variant_id"), "variant_id")
 
 
 def largest_components(components: DataFrame) -> DataFrame:
