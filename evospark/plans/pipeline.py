@@ -1,0 +1,74 @@
+"""The three flows: upload, sequence analysis, activity report."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evospark.operators import metrics as M, mutations as U, qc, ranking as R, scoring as S, sequences as Q
+from evospark.session import cut_lineage
+from evospark.sources import snapshots, uploads
+
+
+def ingest_folder(spark: SparkSession, folder: str, experiments: DataFrame, variants: DataFrame,
+                  metrics: DataFrame, options: qc.QualityOptions = qc.QualityOptions()) -> dict[str, DataFrame]:
+    """Read a folder of uploads, check them, and merge the accepted files.
+
+    ``experiments`` maps ``file_path`` to ``experiment_id``.
+    """
+    records = cut_lineage(uploads.read_uploads(spark, folder))
+    checked = qc.check_records(records, options=options)
+    findings = qc.cross_record_findings(records)
+    fatal = uploads.fatal_file_errors(spark, folder, records)
+    accepted, rejected = qc.upload_gate(checked, findings, fatal)
+    scoped = accepted.join(experiments.select("file_path", "experiment_id"), "file_path")
+    merged = snapshots.upsert_uploads(scoped, variants, metrics)
+    return {**merged, "rejected": rejected, "fatal": fatal, "summary": qc.upload_summary(checked, findings)}
+
+
+def pending_variants(variants: DataFrame, *, force: bool = False) -> DataFrame:
+    """Variants a run has to process: those without a protein, or all."""
+    return variants if force else variants.where(F.col("protein_sequence").isNull())
+
+
+def analyse_sequences(variants: DataFrame, mappings: DataFrame, *, force: bool = False,
+                      stop_policy: str = "truncate", fallback_search: bool = True) -> DataFrame:
+    """Extract, translate and compare every pending variant of all experiments.
+
+    ``mappings`` holds the wild-type mapping per experiment. Variants whose
+    extraction is unreliable are searched once more with a mapping found in the
+    variant's own plasmid.
+    """
+    todo = pending_variants(variants, force=force).select("experiment_id", "variant_id", "assembled_dna_sequence")
+    mapping = mappings.select("experiment_id", "strand", "frame", "cds_start", "cds_end", "wt_cds", "wt_protein")
+    extracted = Q.extract_cds(todo.join(mapping, "experiment_id"), stop_policy)
+    # The wild-type CDS stays the reference even when a variant is remapped.
+    if fallback_search:
+        extracted = cut_lineage(extracted)
+        weak = extracted.where(Q.needs_remap())
+        own = Q.locate_wild_type(
+            weak.select("variant_id", "wt_protein", "assembled_dna_sequence"), ["variant_id"],
+            plasmid="assembled_dna_sequence",
+        ).withColumnRenamed("wt_cds", "_own_cds").drop("wt_protein", "match_identity_pct")
+        again = (
+            weak.select("experiment_id", "variant_id", "assembled_dna_sequence", "wt_protein", F.col("wt_cds").alias("_ref"))
+            .join(own, "variant_id")
+            .withColumnRenamed("_own_cds", "wt_cds")
+        )
+        remapped = Q.extract_cds(again, stop_policy).drop("wt_cds").withColumnRenamed("_ref", "wt_cds")
+        extracted = extracted.join(own.select("variant_id"), "variant_id", "left_anti").unionByName(remapped)
+    return U.guard_profiles(U.call_mutations(extracted))
+
+
+def activity_report(variants: DataFrame, metrics: DataFrame, generations: DataFrame, mode: str = "auto", *,
+                    strict: bool = False) -> dict[str, DataFrame]:
+    """Score all experiments, store the metric rows, and build the top-10."""
+    scored = S.score_experiments(
+        M.raw_yields(variants, metrics), M.wt_baselines(metrics), generations, mode, strict=strict)
+    stored = snapshots.upsert_variant_metrics(metrics, S.score_metric_rows(scored), variants)
+    return {
+        "scored": scored,
+        "metrics": stored,
+        "top10": R.top_variants(variants, stored),
+        "distribution": M.distribution_rows(variants, stored),
+    }
