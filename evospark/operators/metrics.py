@@ -33,11 +33,10 @@ def latest_metrics(metrics: DataFrame, wanted: Mapping[str, tuple[str, str]]) ->
     keep = None
     for cond in match.values():
         keep = cond if keep is None else keep | cond
-    age = F.struct("metric_id", "value")
     return (
         metrics.where(keep & F.col("variant_id").isNotNull())
         .groupBy("variant_id")
-        .agg(*[F.max_by("value", F.when(cond, age)).alias(out) for out, cond in match.items()])
+        .agg(*[F.max_by("value", F.when(cond, F.col("metric_id"))).alias(out) for out, cond in match.items()])
     )
 
 
@@ -50,7 +49,7 @@ def latest_metric(metrics: DataFrame, name: str, kind: str, out: str = "value")
             & F.col("variant_id").isNotNull()
         )
         .groupBy("variant_id")
-        .agg(F.max_by("value", F.struct("metric_id", "value")).alias(out))
+        .agg(F.max_by("value", "metric_id").alias(out))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evospark.functions.coerce import FLOAT_LITERAL, INT_TEXT, float_or_null, int_or_null, not_nan, stripped
-from evospark.functions.quantiles import exact_percentiles
+from evospark.functions.quantiles import wide_percentiles
 from evospark.sources.uploads import REQUIRED_FIELDS
 
 
@@ -43,23 +43,21 @@ class QualityOptions:
 def adaptive_thresholds(records: DataFrame, keys: list[str], options: QualityOptions = QualityOptions()) -> DataFrame:
     """Warning limits per file (or experiment) from the data's own percentiles."""
     low, high = options.percentile_low / 100.0, options.percentile_high / 100.0
-
-    def limits(column: str, prefix: str, static: tuple[float, float]) -> DataFrame:
-        values = records.select(*keys, float_or_null(F.col(column)).alias("_value"))
-        marks = exact_percentiles(values, keys, "_value", {f"{prefix}_low": low, f"{prefix}_high": high})
-        if options.min_samples > 0:
-            n = values.where(not_nan(F.col("_value")).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            enough = F.col("_n") >= options.min_samples
-            marks = marks.join(n, keys)
-            for side, value in zip(("low", "high"), static):
-                c = f"{prefix}_{side}"
-                marks = marks.withColumn(c, F.when(enough, F.col(c)).otherwise(F.lit(value)))
-            marks = marks.drop("_n")
-        return marks
-
-    dna = limits("dna_yield", "dna", (options.dna_low, options.dna_high))
-    prot = limits("protein_yield", "protein", (options.protein_low, options.protein_high))
-    return dna.join(prot, keys, "full_outer")
+    static = {"dna_low": options.dna_low, "dna_high": options.dna_high,
+              "protein_low": options.protein_low, "protein_high": options.protein_high}
+    values = records.select(
+        *keys, float_or_null(F.col("dna_yield")).alias("_dna"), float_or_null(F.col("protein_yield")).alias("_prot"))
+    limits = wide_percentiles(values, keys, {
+        "_dna": {"dna_low": low, "dna_high": high}, "_prot": {"protein_low": low, "protein_high": high}})
+    if options.min_samples <= 0:
+        return limits
+    sizes = values.groupBy(*keys).agg(
+        F.count(not_nan(F.col("_dna"))).alias("_n_dna"), F.count(not_nan(F.col("_prot"))).alias("_n_protein"))
+    limits = limits.join(sizes, keys)
+    for name, value in static.items():
+        enough = F.col(f"_n_{name.split('_')[0]}") >= options.min_samples
+        limits = limits.withColumn(name, F.when(enough, F.col(name)).otherwise(F.lit(value)))
+    return limits.drop("_n_dna", "_n_protein")
 
 
 def _has(field: str) -> Column:

@@ -123,7 +123,7 @@ def performance_rankings(metrics: DataFrame, partitions: int | None = None) -> D
     latest = (
         metrics.where(F.col("variant_id").isNotNull())
         .groupBy("generation_id", "variant_id", "metric_name", "metric_type")
-        .agg(F.max_by("value", F.struct("metric_id", "value")).alias("value"))
+        .agg(F.max_by("value", "metric_id").alias("value"))
         .where(not_nan(F.col("value")).isNotNull())
     )
     return rank_all(

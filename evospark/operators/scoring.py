@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evospark.functions.coerce import finite, not_nan
-from evospark.functions.quantiles import exact_percentiles
+from evospark.functions.quantiles import with_group_median
 
 # Fixed value: normalised protein yields at or below this are not divided by.
 SMALLEST_PROTEIN_NORM = 1e-9
@@ -52,16 +52,13 @@ def score_against_wt(variants: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def score_against_medians(variants: DataFrame) -> DataFrame:
     """Score every variant against the median yields of its generation."""
-    groups = ["generation_id"]
-    dna = exact_percentiles(variants, groups, "dna_yield_raw", {"dna_med": 0.5})
-    prot = exact_percentiles(variants, groups, "protein_yield_raw", {"prot_med": 0.5})
+    yields = {"dna_yield_raw": "dna_med", "protein_yield_raw": "prot_med"}
 
     def ratio(top: str, bottom: str) -> Column:
         return finite(F.try_divide(not_nan(F.col(top)), F.nullif(not_nan(F.col(bottom)), F.lit(0.0))))
 
     return (
-        variants.join(dna, groups, "left")
-        .join(prot, groups, "left")
+        with_group_median(variants, ["generation_id"], yields)
         .withColumn("dna_yield_norm", ratio("dna_yield_raw", "dna_med"))
         .withColumn("protein_yield_norm", ratio("protein_yield_raw", "prot_med"))
         .withColumn("activity_score", ratio("dna_yield_norm", "protein_yield_norm"))

@@ -16,6 +16,26 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+_CODONS = ["GCT", "TGC", "GAT", "GAA", "TTC", "GGT", "CAC", "ATC", "AAA", "CTG", "AAC", "CCG", "CAG", "CGT", "AGC", "TGG"]
+
+
+def coded(text: str) -> str:
+    """SQL of a stop-free coding text: every hexadecimal digit becomes a codon."""
+    for digit, codon in zip("0123456789abcdef", _CODONS):
+        text = f"replace({text}, '{digit}', '{codon}')"
+    return text
+
+
+def gene_of(experiment: str) -> str:
+    """SQL of an experiment's wild-type gene: start codon and 64 codons."""
+    return "concat('ATG', " + ", ".join(coded(f"md5(concat('{s}', cast({experiment} as varchar(9))))") for s in "gh") + ")"
+
+
+def bases_of(text: str) -> str:
+    """SQL of 32 pseudo-random bases."""
+    return f"translate(md5({text}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
 VIEWS: dict[str, str] = {
     # One order is one variant: five experiments, one generation per year.
     "experiments": """
@@ -45,7 +65,7 @@ VIEWS: dict[str, str] = {
     # Every line item is a yield measurement; returned lines are controls,
     # except in the last generation, which stays without a baseline.
     "metrics": """
-        select l.l_orderkey * 100 + l.l_linenumber * 10 + n.k as metric_id,
+        select (l.l_orderkey * 100 + l.l_linenumber * 10 + n.k) * 1000000000 + l.l_partkey * 1000 + l.l_suppkey % 1000 as metric_id,
                v.generation_id,
                case when l.l_returnflag = 'R' and v.generation_number < 6 then null else l.l_orderkey end as variant_id,
                case when l.l_returnflag = 'R' and v.generation_number < 6 then v.generation_id end as wt_control_id,
@@ -59,7 +79,7 @@ VIEWS: dict[str, str] = {
         {one_and_two}""",
     # Values stored by earlier runs: several per variant, the newest counts.
     "derived": """
-        select l.l_orderkey * 100 + l.l_linenumber * 10 + 3 as metric_id,
+        select (l.l_orderkey * 100 + l.l_linenumber * 10 + 3) * 1000000000 + l.l_partkey * 1000 + l.l_suppkey % 1000 as metric_id,
                v.generation_id,
                l.l_orderkey as variant_id,
                cast(null as bigint) as wt_control_id,
@@ -107,6 +127,46 @@ VIEWS: dict[str, str] = {
                substr('CDEFGHIKLMNPQRSTVWYA', cast(l_linenumber as int), 1) as mutated,
                case when l_returnflag = 'N' then null else l_linestatus = 'F' end as is_synonymous
         from {lineitem}""",
+    # Uploaded records as text, with the faults that uploads have.
+    "records": f"""
+        select concat('batch-', cast(o_custkey % 5 as varchar(9))) as file_path,
+               o_orderkey + 2 as row_number,
+               case when o_orderkey % 50 = 7 then concat('v', cast(o_orderkey as varchar(20)))
+                    when o_orderkey % 97 = 3 then cast(o_custkey as varchar(20))
+                    when o_orderkey % 211 = 5 then '' else cast(o_orderkey as varchar(20)) end as variant_index,
+               case when o_orderkey % 41 = 5 then 'INVALID' when year(o_orderdate) = 1998 then '9' else cast(year(o_orderdate) - 1994 as varchar(9)) end as generation,
+               case when o_orderkey % 7 = 2 then 'NULL' when o_orderkey % 53 = 1 then 'none' else cast(o_custkey as varchar(20)) end as parent_variant_index,
+               case when o_orderkey % 61 = 4 then 'N/A' when o_orderkey % 67 = 4 then null else cast(o_totalprice / 80 as varchar(30)) end as dna_yield,
+               case when o_orderkey % 71 = 4 then '' else cast(o_totalprice / 200 as varchar(30)) end as protein_yield,
+               case when o_orderkey % 43 = 9 then '' when o_orderkey % 37 = 9 then 'ACGTXQ12' when o_orderkey % 5 = 0 then 'ACGTN'
+                    else concat({bases_of("concat('p', cast(o_orderkey as varchar(20)))")}, {bases_of("concat('q', cast(o_orderkey as varchar(20)))")},
+                                {bases_of("concat('r', cast(o_orderkey as varchar(20)))")}, {bases_of("concat('s', cast(o_orderkey as varchar(20)))")}) end as assembled_dna_sequence,
+               case when o_orderkey % 13 = 0 then 'True' when o_orderkey % 13 = 1 then 'no' else '' end as control,
+               o_orderpriority as priority
+        from {{orders}}""",
+    "wild_types": f"""
+        select experiment_id, gene as wt_cds, concat(substr(backbone, 1, 20), gene, 'TAA', substr(backbone, 21, 12)) as wt_plasmid from (
+          select experiment_id, {gene_of("experiment_id")} as gene, {bases_of("concat('b', cast(experiment_id as varchar(9)))")} as backbone from {{experiments}})""",
+    # Variant genes: one edit each, or a codon moved; then the circle is cut at
+    # another place.
+    "genes": f"""
+        select variant_id, experiment_id, kind, p, concat(
+                 case when kind = 3 then concat(substr(gene, 1, 3 * p), codon, substr(gene, 3 * p + 1, 300))
+                      when kind = 4 then concat(substr(gene, 1, 3 * p), substr(gene, 3 * p + 4, 300))
+                      when kind = 5 then concat(substr(gene, 1, 3 * p), substr(gene, 3 * p + 2, 300))
+                      when kind = 6 then concat(substr(gene, 1, 3 * p), 'N', substr(gene, 3 * p + 2, 300))
+                      when kind = 7 then concat(substr(gene, 1, 3 * p), codon, substr(gene, 3 * p + 1, 12), substr(gene, 3 * p + 16, 300))
+                      when kind = 8 then concat(substr(gene, 1, 3 * p), 'TGA', substr(gene, 3 * p + 4, 300))
+                      when kind = 9 then concat(substr(gene, 1, 3 * p), codon, substr(gene, 3 * p + 4, 6), codon, substr(gene, 3 * p + 13, 300))
+                      else concat(substr(gene, 1, 3 * p), codon, substr(gene, 3 * p + 4, 300)) end, '') as gene
+        from (
+          select o.o_orderkey as variant_id, w.experiment_id, cast(o.o_orderkey % 10 as int) as kind, cast(o.o_custkey % 60 + 1 as int) as p, w.wt_cds as gene,
+                 substr('GCCTGTGACGAGTTTGGACATATTAAGCTTAATCCACAACGATCATGG', cast(o.o_orderkey % 16 * 3 + 1 as int), 3) as codon
+          from {{orders}} o join {{wild_types}} w on w.experiment_id = o.o_custkey % 5)""",
+    "plasmids": f"""
+        select variant_id, experiment_id, concat(substr(circle, cut + 1, 400), substr(circle, 1, cut)) as assembled_dna_sequence from (
+          select variant_id, experiment_id, cast(variant_id % 230 as int) as cut,
+                 concat(gene, 'TAA', {bases_of("concat('b', cast(experiment_id as varchar(9)))")}) as circle from {{genes}})""",
     "indexed": """
         select o_orderkey as variant_id,
                cast(o_custkey % 5 as bigint) as experiment_id,

@@ -172,9 +172,14 @@ def _json_body(text: Column) -> Column:
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records of JSON files (array, ``records``, ``variants`` or one object).
     Row numbers start at 1."""
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file_path"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("_text")
+    return parse_json_texts(
+        spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     )
+
+
+def parse_json_texts(documents: DataFrame) -> DataFrame:
+    """Records of JSON documents (columns ``file_path`` and ``value``)."""
+    texts = documents.select("file_path", stripped(F.col("value")).alias("_text"))
     records = texts.where(F.try_parse_json("_text").isNotNull()).select(
         "file_path", F.posexplode(F.from_json(_json_body(F.col("_text")), "array<variant>")).alias("_i", "_rec")
     )
