@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import product
 
 from pyspark.sql import Column
@@ -23,6 +24,7 @@ IUPAC_DNA = "ACGTNRYWSKMBDHV"
 CODE = {"".join(c): aa for c, aa in zip(product(BASES, repeat=3), AMINO_ACIDS)}
 
 
+@cache
 def _ambiguous_code() -> dict[str, str]:
     """Codons with ambiguity letters that still name one residue (or one of the
     ambiguous residues); all others are X."""
@@ -39,10 +41,6 @@ def _ambiguous_code() -> dict[str, str]:
     return out
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
 def normalise_dna(col: Column) -> Column:
     """Upper case without whitespace."""
     return F.upper(F.regexp_replace(col, r"\s+", ""))
@@ -62,13 +60,33 @@ def codons(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit("(.{3})"), F.lit(1))
 
 
-def residue(codon: Column) -> Column:
-    """Amino acid of one codon; ``*`` is a stop, X unknown."""
+def _digits(col: Column) -> Column:
+    """Bases as digits, so that a codon of plain bases is a small number."""
+    return F.translate(col, BASES + "U", "01230")
+
+
+def _residue_of_digits(code: Column) -> Column:
+    """Residue of a codon in digits: an array lookup for plain codons, a map for
+    the few ambiguous ones that still name a residue, else X."""
+    slots = ["?"] * 334
+    for i, aa in enumerate(AMINO_ACIDS):
+        slots[100 * (i // 16) + 10 * (i // 4 % 4) + i % 4] = aa
+    to_digits = str.maketrans(BASES, "0123")
+    unclear = ",".join(f"{k.translate(to_digits)}:{v}" for k, v in _ambiguous_code().items())
+    # Both tables are one text literal each, which the optimizer folds.
+    table = F.split(F.lit(",".join(slots)), ",")
     return F.coalesce(
-        F.try_element_at(_map(CODE), codon), F.try_element_at(_map(_ambiguous_code()), codon), F.lit("X")
+        F.get(table, code.try_cast("int")),
+        F.try_element_at(F.str_to_map(F.lit(unclear), F.lit(","), F.lit(":")), code),
+        F.lit("X"),
     )
 
 
+def residue(codon: Column) -> Column:
+    """Amino acid of one codon; ``*`` is a stop, X unknown."""
+    return _residue_of_digits(_digits(codon))
+
+
 def residues(codon_array: Column) -> Column:
     return F.transform(codon_array, residue)
 
@@ -76,11 +94,10 @@ def residues(codon_array: Column) -> Column:
 def translate(col: Column, *, to_stop: bool = False) -> Column:
     """Protein of a DNA text (frame 0); NULL when it holds a letter that is not
     an IUPAC base."""
-    dna = F.translate(col, "U", "T")
-    protein = F.array_join(residues(codons(dna)), "")
+    protein = F.array_join(F.transform(codons(_digits(col)), _residue_of_digits), "")
     if to_stop:
         protein = F.split_part(protein, F.lit("*"), F.lit(1))
-    return F.when(~dna.rlike(f"[^{IUPAC_DNA}]"), protein)
+    return F.when(~col.rlike(f"[^{IUPAC_DNA}U]"), protein)
 
 
 def circular_slice(dna: Column, start: Column, end: Column, *, on_equal: str = "empty") -> Column:

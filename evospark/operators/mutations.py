@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
+from evospark.functions.once import evaluated_once
 from evospark.schemas import MUTATION_STRUCT
 
 NONSYNONYMOUS_KINDS = ["NONSYNONYMOUS", "NONSENSE", "INSERTION", "DELETION"]
@@ -186,12 +187,13 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
     approximate = F.coalesce(
         ~missing & ((uneven & (pair_end >= head)) | (F.col("_move").isNotNull() & (k > 1))), F.lit(False)
     )
-    return (
+    done = (
         df.withColumn("mutations", calls)
         .withColumn("approximate", approximate)
-        .withColumn("mutation_counts", counts_of(F.col("mutations")))
         .drop("_wt", "_var", "_w", "_v", "_shift", "_equal", "_diff", "_move", "_wa", "_va", "_short", "_head", "_tail")
     )
+    return evaluated_once(done, ["mutations", "approximate"]).withColumn(
+        "mutation_counts", counts_of(F.col("mutations")))
 
 
 def counts_of(mutations: Column) -> Column:

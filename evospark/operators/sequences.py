@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
+from evospark.functions.once import evaluated_once
 
 ANCHOR = 30  # bases of an anchor; anchors shorter than half of it do not count
 PADDING = 150  # extra bases read after the wild-type length
@@ -65,17 +66,27 @@ def validate_plasmids(rows: DataFrame, protein: str = "wt_protein", plasmid: str
     df = rows.withColumn("_p", F.upper(F.trim(F.coalesce(protein, F.lit(""))))).withColumn(
         "_d", F.upper(F.trim(F.coalesce(plasmid, F.lit(""))))
     ).withColumn("_dd", F.concat("_d", "_d"))
-    hits = F.array(
+    # First frame with a hit, as 8 * position + frame number: later frames are
+    # only translated when the earlier ones hold no hit.
+    first_hit = F.coalesce(
         *[
-            F.struct(
-                F.lit(s).alias("strand"),
-                F.lit(f).alias("frame"),
-                F.instr(_frame_protein(F.col("_dd"), s, f), F.col("_p")).alias("at"),
-            )
-            for s, f in FRAMES
+            F.nullif(F.instr(_frame_protein(F.col("_dd"), s, f), F.col("_p")), F.lit(0)) * 8 + i
+            for i, (s, f) in enumerate(FRAMES)
         ]
     )
-    df = df.withColumn("_hit", F.get(F.filter(hits, lambda h: h["at"] > 0), F.lit(0)))
+    df = evaluated_once(df.withColumn("_code", first_hit).drop("_dd"), ["_code"])
+    number = F.col("_code") % 8
+    df = df.withColumn(
+        "_hit",
+        F.when(
+            F.col("_code").isNotNull(),
+            F.struct(
+                F.when(number < 3, "PLUS").otherwise("MINUS").alias("strand"),
+                (number % 3).alias("frame"),
+                F.floor(F.col("_code") / 8).alias("at"),
+            ),
+        ),
+    )
     present = (F.col("_p") != "") & (F.col("_d") != "")
     ok = present & F.col("_hit").isNotNull()
     n = F.length("_d")
@@ -125,6 +136,7 @@ def locate_wild_type(rows: DataFrame, keys: Sequence[str], protein: str = "wt_pr
         F.upper(F.trim(protein)).alias("_p"),
         D.normalise_dna(F.col(plasmid)).alias("_d"),
     ).where("_p <> '' and _d <> ''")
+    # The seeds below read the translated frames, so those are evaluated once.
     framed = base.withColumn("_dd", F.concat("_d", "_d")).withColumn(
         "_frame",
         F.explode(
@@ -253,7 +265,11 @@ def extract_cds(variants: DataFrame, stop_policy: str = "truncate") -> DataFrame
     else:
         early = filled & F.col("protein_aa").contains("*")
         note = "Stop codon(s) present in translated protein."
-    temp = ["_d", "_wt", "_n", "_len", "_dd", "_genomic", "_start", "_coding", "_stop", "_size", "_from", "_to"]
+    temp = ["_d", "_wt", "_n", "_len", "_dd", "_genomic", "_start", "_coding", "_stop", "_size"]
+    df = evaluated_once(
+        df.withColumn("found_by_anchor", anchored).drop(*temp),
+        ["cds_dna", "_from", "_to", "protein_aa", "found_by_anchor"],
+    )
     return (
         df.withColumn("has_frameshift", F.length("cds_dna") % 3 != 0)
         .withColumn("has_ambiguous_bases", D.has_ambiguous(F.col("cds_dna")))
@@ -262,10 +278,9 @@ def extract_cds(variants: DataFrame, stop_policy: str = "truncate") -> DataFrame
             "qc_notes",
             F.when(early, note).when((F.col("cds_dna") != "") & F.col("protein_aa").isNull(), "Translation failed."),
         )
-        .withColumn("found_by_anchor", anchored)
         .withColumn("cds_start", F.col("_from").cast("int"))
         .withColumn("cds_end", F.col("_to").cast("int"))
-        .drop(*temp)
+        .drop("_from", "_to")
     )
 
 

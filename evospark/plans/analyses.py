@@ -42,14 +42,16 @@ def _mapped(spark, sf: str) -> DataFrame:
 
 
 @register("dna_functions", f"""
-with s as (select o_orderkey, concat(translate(md5(cast(o_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), translate(md5(cast(o_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGN')) as dna from {{orders}}),
+with s as (select o_orderkey, concat(case when o_custkey % 5 = 0 then 'NAA' else 'ATG' end, translate(md5(cast(o_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'),
+                                     translate(md5(cast(o_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT')) as dna from {{orders}}),
 p as (select *, {protein_sql('dna')} as protein from s)
 select o_orderkey, reverse(translate(dna, 'ACGTN', 'TGCAN')) as reverse_complement, length(protein) as residues, split_part(protein, '*', 1) as protein_head,
        contains(dna, 'N') as has_ambiguous_bases, contains(protein, '*') as has_stop_codon,
-       concat(substr(dna, 51, 14), substr(dna, 1, 10)) as wrapped from p""")
+       concat(substr(dna, 51, 17), substr(dna, 1, 10)) as wrapped from p""")
 def dna_functions(spark, sf):
-    text = ("concat(translate(md5(cast(o_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), "
-            "translate(md5(cast(o_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGN'))")
+    text = ("concat(case when o_custkey % 5 = 0 then 'NAA' else 'ATG' end, "
+            "translate(md5(cast(o_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), "
+            "translate(md5(cast(o_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'))")
     df = table(spark, sf, "orders").select("o_orderkey", F.expr(text).alias("dna"))
     df = df.withColumn("q", D.translation_with_quality(F.col("dna")))
     return df.select(
@@ -72,11 +74,11 @@ def plasmid_validation(spark, sf):
 
 
 @register("wild_type_location", """
-select experiment_id, 'PLUS' as strand, 2 as frame, 20 as cds_start, 20 + length(wt_cds) as cds_end, wt_cds, 100.0 as match_identity_pct from {wild_types}""")
+select experiment_id, 'PLUS' as strand, 20 as cds_start, 20 + length(wt_cds) as cds_end, wt_cds, 100.0 as match_identity_pct from {wild_types}""")
 def wild_type_location(spark, sf):
     rows = view(spark, sf, "wild_types").select(
         "experiment_id", D.translate(F.col("wt_cds")).alias("wt_protein"), "wt_plasmid")
-    return Q.locate_wild_type(rows, ["experiment_id"]).drop("wt_protein")
+    return Q.locate_wild_type(rows, ["experiment_id"]).drop("wt_protein", "frame")
 
 
 @register("wild_type_references", """
@@ -152,17 +154,18 @@ def mutation_calls(spark, sf):
     return U.call_mutations(_true_genes(spark, sf)).select("variant_id", "mutation_counts.*")
 
 
-@register("substitution_records", f"""
-with g as (select v.variant_id, {codons_sql('w.wt_cds')} as w, {codons_sql('v.gene')} as v from {{genes}} v join {{wild_types}} w on w.experiment_id = v.experiment_id
-           where v.kind in (0, 1, 2, 8)),
-x as (select variant_id, w, v, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] <> v[i])) as i from g),
-y as (select variant_id, cast(i as int) as position, w[i] as wt_codon, v[i] as var_codon from x),
-z as (select *, {codon_sql('wt_codon')} as wt_aa, {codon_sql('var_codon')} as var_aa from y)
-select variant_id, case when var_aa = '*' then 'NONSENSE' when wt_aa = var_aa then 'SYNONYMOUS' else 'NONSYNONYMOUS' end as mutation_type, position, wt_codon, var_codon, wt_aa, var_aa from z""")
+SUBSTITUTED = CALLS + f""",
+subs as (select variant_id, w, v, wa, eq, grow, tail, unnest(case when eq then diff else changed end) as i from e where not shift and move = 0),
+placed as (select variant_id, cast(i as int) as position, w[i] as wt_codon, v[i + case when not eq and i > len(wa) - tail then grow else 0 end] as var_codon from subs),
+named as (select variant_id, position, wt_codon, var_codon, {codon_sql('wt_codon')} as wt_aa, {codon_sql('var_codon')} as var_aa from placed)"""
+
+
+@register("substitution_records", "with " + SUBSTITUTED + """
+select variant_id, case when contains(var_codon, 'N') then 'AMBIGUOUS' when var_aa = '*' then 'NONSENSE' when wt_aa = var_aa then 'SYNONYMOUS' else 'NONSYNONYMOUS' end as mutation_type,
+       position, wt_codon, var_codon, case when not contains(var_codon, 'N') then wt_aa end as wt_aa, case when not contains(var_codon, 'N') then var_aa end as var_aa from named""")
 def substitution_records(spark, sf):
-    kinds = view(spark, sf, "genes").where("kind in (0, 1, 2, 8)").select("variant_id")
-    rows = _true_genes(spark, sf).join(kinds, "variant_id", "left_semi")
-    return U.mutation_rows(U.call_mutations(rows)).select(
+    rows = U.mutation_rows(U.call_mutations(_true_genes(spark, sf)))
+    return rows.where(~F.col("mutation_type").isin("INSERTION", "DELETION", "FRAMESHIFT")).select(
         "variant_id", "mutation_type", F.col("aa_position_1based").alias("position"), "wt_codon", "var_codon", "wt_aa", "var_aa")
 
 
@@ -192,9 +195,12 @@ def count_metrics(spark, sf):
     return U.count_metric_rows(U.call_mutations(_true_genes(spark, sf))).select("variant_id", "metric_name", "value")
 
 
-@register("acceptable_mutations")
+@register("acceptable_mutations", "with " + SUBSTITUTED + """
+select variant_id, 'protein' as mutation_type, position, wt_aa as original, var_aa as mutated, false as is_synonymous
+from named where not contains(var_codon, 'N') and (wt_aa <> var_aa or var_aa = '*')""")
 def acceptable_mutations(spark, sf):
-    return snapshots.acceptable_mutations(U.mutation_rows(U.call_mutations(_true_genes(spark, sf)))).drop("mutation_id")
+    called = U.mutation_rows(U.call_mutations(_true_genes(spark, sf)))
+    return snapshots.acceptable_mutations(called).drop("mutation_id", "annotation")
 
 
 @register("mutation_report", "with " + CALLS + """
