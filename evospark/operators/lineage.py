@@ -345,9 +345,14 @@ def linear_trend(rows: DataFrame, keys: Sequence[str], x: str, y: str, min_point
         F.count(F.lit(1)).alias("points"),
         F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
         F.min("_y").alias("_y0"), F.max("_y").alias("_y1"),
-        F.regr_slope("_y", "_x").alias("slope"),
-        F.regr_intercept("_y", "_x").alias("intercept"),
-        F.corr("_x", "_y").alias("r_value"),
+        F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"),
+        F.covar_pop("_x", "_y").alias("_cov"),
+        F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy"),
+    )
+    # Ratios by hand: corr() fails on a constant side when ANSI mode is on.
+    fit = fit.withColumn("slope", F.try_divide(F.col("_cov"), F.col("_sx") * F.col("_sx")))
+    fit = fit.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx")).withColumn(
+        "r_value", F.try_divide(F.col("_cov"), F.col("_sx") * F.col("_sy"))
     )
     ready = (F.col("points") >= min_points) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))
     fit = fit.withColumn("trend_ready", ready)
@@ -357,7 +362,7 @@ def linear_trend(rows: DataFrame, keys: Sequence[str], x: str, y: str, min_point
         fit.withColumn("p_value", correlation_p("r_value", "points"))
         .withColumn("line_start", F.when(F.col("trend_ready"), F.col("slope") * F.col("_x0") + F.col("intercept")))
         .withColumn("line_end", F.when(F.col("trend_ready"), F.col("slope") * F.col("_x1") + F.col("intercept")))
-        .drop("_x0", "_x1", "_y0", "_y1")
+        .drop("_x0", "_x1", "_y0", "_y1", "_mx", "_my", "_cov", "_sx", "_sy")
     )
 
 

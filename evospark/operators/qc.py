@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evospark.functions.coerce import FLOAT_LITERAL, INT_TEXT, float_or_null, int_or_null, not_nan, stripped
 from evospark.functions.quantiles import wide_percentiles
+from evospark.session import spread_if_small
 from evospark.sources.uploads import REQUIRED_FIELDS
 
 
@@ -81,6 +82,7 @@ def check_records(
     """
     keys = keys or ["file_path"]
     opt = options
+    records = spread_if_small(records)
     df = records
     if opt.percentile_mode:
         limits = thresholds if thresholds is not None else adaptive_thresholds(records, keys, opt)

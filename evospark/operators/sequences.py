@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
 from evospark.functions.once import evaluated_once
+from evospark.session import spread_if_small
 
 ANCHOR = 30  # bases of an anchor; anchors shorter than half of it do not count
 PADDING = 150  # extra bases read after the wild-type length
@@ -63,7 +64,7 @@ def _plasmid_span(n: Column, strand: Column, frame: Column, start_aa: Column, si
 def validate_plasmids(rows: DataFrame, protein: str = "wt_protein", plasmid: str = "plasmid") -> DataFrame:
     """Does each plasmid (a circle) encode the protein exactly in one of its six
     frames? Adds validity, strand, 0-based inclusive coordinates and wrapping."""
-    df = rows.withColumn("_p", F.upper(F.trim(F.coalesce(protein, F.lit(""))))).withColumn(
+    df = spread_if_small(rows).withColumn("_p", F.upper(F.trim(F.coalesce(protein, F.lit(""))))).withColumn(
         "_d", F.upper(F.trim(F.coalesce(plasmid, F.lit(""))))
     ).withColumn("_dd", F.concat("_d", "_d"))
     # First frame with a hit, as 8 * position + frame number: later frames are
@@ -152,7 +153,15 @@ def locate_wild_type(rows: DataFrame, keys: Sequence[str], protein: str = "wt_pr
         ),
     )
     frames = framed.select(*keys, "_p", "_d", "_frame.*").where("protein is not null")
-    frame_seeds = frames.select(*keys, "no", F.posexplode(_seeds(F.col("protein"), F.col("_p"))).alias("_at", "_seed"))
+    # Only seeds that occur in the protein leave the row.
+    placed = F.filter(
+        F.transform(
+            _seeds(F.col("protein"), F.col("_p")), lambda s, i: F.struct(i.alias("at"), s.alias("seed"))
+        ),
+        lambda x: F.instr(F.col("_p"), x["seed"]) > 0,
+    )
+    frame_seeds = frames.select(*keys, "no", F.explode(placed).alias("_s")).select(
+        *keys, "no", F.col("_s.at").alias("_at"), F.col("_s.seed").alias("_seed"))
     protein_seeds = base.select(*keys, F.posexplode(_seeds(F.col("_p"), F.col("_p"))).alias("_from", "_seed"))
     votes = (
         frame_seeds.join(protein_seeds, [*keys, "_seed"])
@@ -214,7 +223,8 @@ def extract_cds(variants: DataFrame, stop_policy: str = "truncate") -> DataFrame
         raise ValueError("stop_policy must be truncate or keep_stops")
     minus = F.col("strand") == "MINUS"
     df = (
-        variants.withColumn("_d", D.normalise_dna(F.coalesce("assembled_dna_sequence", F.lit(""))))
+        spread_if_small(variants, "variant_id")
+        .withColumn("_d", D.normalise_dna(F.coalesce("assembled_dna_sequence", F.lit(""))))
         .withColumn("_wt", D.normalise_dna(F.col("wt_cds")))
         .withColumn("_n", F.length("_d"))
         .withColumn("_len", F.length("_wt"))

@@ -11,6 +11,8 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evospark.session import spread_if_small
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -176,6 +178,9 @@ VIEWS: dict[str, str] = {
         from {orders}""",
 }
 
+# Views whose row texts are costly to build.
+COSTLY = {"genes", "records"}
+
 SPARK_PARTS = {"one_and_two": "lateral view explode(array(1, 2)) n as k"}
 PORTABLE_PARTS = {"one_and_two": "cross join (select unnest([1, 2]) as k) n"}
 
@@ -193,13 +198,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived campaign table (or a given table) as a lazy DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
-    return run_sql(spark, sf_dir, VIEWS[name])
+    return run_sql(spark, sf_dir, VIEWS[name], spread=name in COSTLY)
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, *, spread: bool = False) -> DataFrame:
     """SQL over views and tables named as ``{placeholders}``."""
     names = _placeholders(sql)
     frames = {n: view(spark, sf_dir, n) for n in names if n not in SPARK_PARTS}
+    if spread:
+        frames = {n: spread_if_small(df) if n in TABLES else df for n, df in frames.items()}
     for part, text in SPARK_PARTS.items():
         sql = sql.replace("{" + part + "}", text)
     return spark.sql(sql, **frames)

@@ -7,6 +7,8 @@ fields as a map, the row number and the file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -232,9 +234,11 @@ def _matching(spark: SparkSession, path: str) -> list[str]:
     """File names matching a glob, as Spark's own file index lists them
     (zero-length files included)."""
     try:
-        return spark.read.text(path).inputFiles()
+        names = spark.read.text(path).inputFiles()
     except AnalysisException:
         return []
+    # Local names come with three slashes here, with one in the file metadata.
+    return [re.sub("^file:/+", "file:/", n) for n in names]
 
 
 def _has_files(spark: SparkSession, folder: str, glob: str) -> bool:
