@@ -201,3 +201,23 @@ def resolve_variant_ids(rows: DataFrame, variants: DataFrame) -> DataFrame:
         .withColumn("variant_id", F.coalesce("variant_id", "_found"))
         .drop("_found")
     )
+
+
+def owned_variants(variants: DataFrame, experiments: DataFrame, user_id: int) -> DataFrame:
+    """Variants of the experiments of one user."""
+    own = experiments.where(F.col("user_id") == user_id).select("experiment_id")
+    return variants.join(own, "experiment_id", "left_semi")
+
+
+def protein_windows(variants: DataFrame, first_positions: DataFrame, radius: int = 10) -> DataFrame:
+    """Residues within ``radius`` of each variant's first mutation
+    (``first_positions``: variant_id, position)."""
+    seq = F.trim("protein_sequence")
+    left = F.greatest(F.col("position") - radius, F.lit(1))
+    right = F.least(F.length(seq), F.col("position") + radius)
+    return (
+        variants.select("variant_id", "protein_sequence")
+        .join(first_positions.where("position > 0"), "variant_id")
+        .where(F.coalesce(seq, F.lit("")) != "")
+        .select("variant_id", "position", F.substring(seq, left, F.greatest(right - left + 1, F.lit(0))).alias("window"))
+    )

@@ -72,3 +72,17 @@ def activity_report(variants: DataFrame, metrics: DataFrame, generations: DataFr
         "top10": R.top_variants(variants, stored),
         "distribution": M.distribution_rows(variants, stored),
     }
+
+
+def refresh_views(views: dict[str, DataFrame], store: str) -> dict[str, str | None]:
+    """Rewrite materialised report tables (landscape, domain enrichment). One
+    failing view does not stop the others: the result maps each name to None or
+    to its error."""
+    outcome: dict[str, str | None] = {}
+    for name, df in views.items():
+        try:
+            snapshots.write_snapshot(df, f"{store}/{name}")
+            outcome[name] = None
+        except Exception as exc:  # the caller decides what a failed view means
+            outcome[name] = f"{type(exc).__name__}: {exc}"
+    return outcome

@@ -352,3 +352,19 @@ select e.experiment_id, e.status, count(v.variant_id) as total_variants, count(a
 from {experiments} e left join {variants} v on v.experiment_id = e.experiment_id left join {analysis} a on a.variant_id = v.variant_id group by 1, 2""")
 def analysis_completeness(spark, sf):
     return kpi.completeness(view(spark, sf, "variants"), view(spark, sf, "analysis"), view(spark, sf, "experiments"))
+
+
+@register("owned_variants", """
+select v.variant_id from {variants} v join {experiments} e on e.experiment_id = v.experiment_id where e.user_id = 1""")
+def owned_variants(spark, sf):
+    return R.owned_variants(view(spark, sf, "variants"), view(spark, sf, "experiments"), 1).select("variant_id")
+
+
+@register("protein_windows", """
+with f as (select variant_id, cast(min(position % 32 + 1) as int) as position from {mutations} where mutation_type = 'protein' group by 1)
+select v.variant_id, f.position, substr(v.protein_sequence, greatest(f.position - 10, 1), least(32, f.position + 10) - greatest(f.position - 10, 1) + 1) as "window"
+from {variants} v join f on f.variant_id = v.variant_id where v.protein_sequence is not null""")
+def protein_windows(spark, sf):
+    firsts = view(spark, sf, "mutations").where("mutation_type = 'protein'").groupBy("variant_id").agg(
+        F.min(F.col("position") % 32 + 1).cast("int").alias("position"))
+    return R.protein_windows(view(spark, sf, "variants"), firsts)

@@ -106,13 +106,13 @@ VIEWS: dict[str, str] = {
     "analysis": """
         select distinct l_orderkey as variant_id, 1 as stored from {lineitem} where l_linenumber <= 4""",
     "features": """
-        select cast(n_nationkey as bigint) as feature_id,
-               cast(n_nationkey % 2 as bigint) as wt_id,
-               case when n_regionkey % 3 = 0 then 'Domain' when n_regionkey % 3 = 1 then 'Region' else 'Binding site' end as feature_type,
-               case when n_nationkey % 4 = 3 then null else concat('feature ', cast(n_nationkey % 7 as varchar(20))) end as description,
-               cast(n_nationkey * 15 + 1 as int) as start_position,
-               cast(n_nationkey * 15 + 30 + n_regionkey as int) as end_position
-        from {nation}""",
+        select p_partkey as feature_id,
+               cast(p_partkey % 2 as bigint) as wt_id,
+               case when p_size % 3 = 0 then 'Domain' when p_size % 3 = 1 then 'Region' else 'Binding site' end as feature_type,
+               case when p_partkey % 4 = 3 then null else concat('feature ', cast(p_partkey % 7 as varchar(20))) end as description,
+               cast(p_partkey * 37 % 380 + 1 as int) as start_position,
+               cast(p_partkey * 37 % 380 + 1 + p_size as int) as end_position
+        from {part}""",
     # Two forests over the parts in heap order: the parent of node j is (j-1)/2.
     "lineage": """
         select p_partkey as variant_id,

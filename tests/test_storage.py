@@ -126,3 +126,12 @@ def test_streaming_intake_is_idempotent(spark, tmp_path):
     got = sorted((r["wt_control_id"] is not None, r["metric_name"], r["value"]) for r in metrics.collect())
     assert got == [(False, "dna_yield_raw", 600.0), (False, "dna_yield_raw", 700.0), (False, "protein_yield_raw", 60.0),
                    (False, "protein_yield_raw", 70.0), (True, "dna_yield_raw", 400.0), (True, "protein_yield_raw", 50.0)]
+
+
+def test_refresh_isolates_failures(spark, tmp_path):
+    from evospark.plans.pipeline import refresh_views
+
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
+    out = refresh_views({"bad": bad, "good": spark.range(2)}, str(tmp_path))
+    assert out["good"] is None and out["bad"] is not None
+    assert snapshots.read_snapshot(spark, str(tmp_path / "good")).count() == 2
