@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
 from evospark.operators import embeddings as E, metrics as M, mutations as U, sequences as Q
-from evospark.plans import pipeline as P
+from evospark.plans import flows as P
 from evospark.plans.registry import register
 from evospark.plans.reports import LATEST, rounded
 from evospark.plans.views import table, view

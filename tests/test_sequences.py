@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
 from evospark.operators import mutations as U, sequences as Q
-from evospark.plans import pipeline as P
+from evospark.plans import flows as P
 from evospark.sources.references import feature_table, parse_fasta, protein_table, read_protein_entries, storable_features
 
 CASES = [

@@ -129,7 +129,7 @@ def test_streaming_intake_is_idempotent(spark, tmp_path):
 
 
 def test_refresh_isolates_failures(spark, tmp_path):
-    from evospark.plans.pipeline import refresh_views
+    from evospark.plans.flows import refresh_views
 
     bad = spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
     out = refresh_views({"bad": bad, "good": spark.range(2)}, str(tmp_path))
