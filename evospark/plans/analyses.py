@@ -45,7 +45,7 @@ def _mapped(spark, sf: str) -> DataFrame:
 with s as (select o_orderkey, concat(case when o_custkey % 5 = 0 then 'NAA' else 'ATG' end, translate(md5(cast(o_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'),
                                      translate(md5(cast(o_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT')) as dna from {{orders}}),
 p as (select *, {protein_sql('dna')} as protein from s)
-select o_orderkey, reverse(translate(dna, 'ACGTN', 'TGCAN')) as reverse_complement, length(protein) as residues, split_part(protein, '*', 1) as protein_head,
+select o_orderkey, reverse(translate(dna, 'ACGTN', 'TGCAN')) as reverse_complement, cast(length(protein) as int) as residues, split_part(protein, '*', 1) as protein_head,
        contains(dna, 'N') as has_ambiguous_bases, contains(protein, '*') as has_stop_codon,
        concat(substr(dna, 51, 17), substr(dna, 1, 10)) as wrapped from p""")
 def dna_functions(spark, sf):
@@ -74,7 +74,7 @@ def plasmid_validation(spark, sf):
 
 
 @register("wild_type_location", """
-select experiment_id, 'PLUS' as strand, 20 as cds_start, 20 + length(wt_cds) as cds_end, wt_cds, 100.0 as match_identity_pct from {wild_types}""")
+select experiment_id, 'PLUS' as strand, 20 as cds_start, cast(20 + length(wt_cds) as int) as cds_end, wt_cds, cast(100.0 as double) as match_identity_pct from {wild_types}""")
 def wild_type_location(spark, sf):
     rows = view(spark, sf, "wild_types").select(
         "experiment_id", D.translate(F.col("wt_cds")).alias("wt_protein"), "wt_plasmid")

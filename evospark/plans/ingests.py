@@ -135,7 +135,7 @@ select row_number, case when variant_index not in ('', 'NULL', 'null', 'None') a
        case when regexp_full_match(dna_yield, '[0-9.eE+-]+') then try_cast(dna_yield as double) end as dna_yield,
        case lower(control) when 'true' then true when 'no' then false end as control,
        case when variant_index = '' then null else variant_index end as index_text,
-       to_json({{'priority': priority}}) as additional_metadata
+       cast(to_json({{'priority': priority}}) as varchar) as additional_metadata
 from {records}""")
 def typed_cells(spark, sf):
     return records_of(spark, sf).select(
