@@ -16,9 +16,11 @@ is then equal on both sides.
 * Cost: a signature's cost is its measured frequency. A set whose frequent
   signatures fit into its spare ones leaves them all out; only the other sets
   meet in frequent groups.
-* Candidates of one group are first compared with the group's smallest id; the
-  groups then compare only members that are not yet in one component. All
-  comparisons are exact on the whole sets.
+* A linked pair whose sets have spare signatures shares more than one of them,
+  so the number of shared signatures rules out most chance pairs.
+* Candidates are first compared along a few pairs per set (the partner with most
+  shared signatures, the first member of a frequent group); after that only
+  pairs in different components are. All comparisons are exact on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evospark.llm.common import batch_words, components, mix, ngram_hashes, stored
 
 NGRAM = 5
 PERCENT = 75
-FREQUENT = 32
+FREQUENT = 16
 """Groups above this size count as frequent (a cost, not a cap: see the module text)."""
 
 SEGMENT_FILL = 1.8
@@ -115,9 +117,8 @@ def signatures(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarr
                                  _salted(sums[own] - values, band, ids[own])[several]])
         if len(first) + int((sizes > 1).sum()) < need:
             most = need - 1
-            full = values.sum(dtype=np.uint64)
-            less = [full - values[list(c)].sum(dtype=np.uint64) if c else full
-                    for k in range(min(most, len(values) - 1) + 1) for c in combinations(range(len(values)), k)]
+            full = sum(values.tolist())
+            less = [(full - sum(c)) % 2**64 for k in range(min(most, len(values) - 1) + 1) for c in combinations(values.tolist(), k)]
             signed = np.concatenate([signed, _salted(np.array(less, np.uint64), band, np.full(len(less), 1 << 30))])
         out.append(signed)
         spare.append(np.full(len(signed), -1, np.int32))
@@ -153,15 +154,14 @@ def set_profiles(docs: DataFrame, n: int = NGRAM) -> DataFrame:
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, doc_id, spare) of the sets; a task signs each distinct set once."""
+    """(sig, set, spare): signatures with the first half of the set's fingerprint; a task signs each distinct set once."""
 
     def sign(batches):
         bands, seen = Bands(percent), set()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            sigs, docs_, spares = [], [], []
-            for doc_id, elements in zip(ids, _sets(batch, n), strict=True):
-                if doc_id is None or len(elements) < 3:
+            rows: list[list[np.ndarray]] = []
+            for elements in _sets(batch, n):
+                if len(elements) < 3:
                     continue
                 mark = _fingerprint(elements)
                 if mark in seen:
@@ -170,43 +170,75 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     seen.clear()
                 seen.add(mark)
                 sig, spare = signatures(elements, bands)
-                sigs.append(sig.view(np.int64))
-                spares.append(spare)
-                docs_.append(np.full(len(sig), doc_id, np.int64))
-            for a in range(0, len(sigs), 512):  # bounded output batches
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x[a:a + 512])) for x in (sigs, docs_, spares)],
-                    names=["sig", "doc_id", "spare"])
+                rows.append([sig.view(np.int64), np.full(len(sig), mark[0], np.int64), spare])
+                if len(rows) == 512:
+                    yield _batch(rows, ["sig", "set", "spare"])
+                    rows = []
+            if rows:
+                yield _batch(rows, ["sig", "set", "spare"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "sig long, doc_id long, spare int")
+    rows = docs.where("doc_id is not null").select(F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(sign, "sig long, set long, spare int")
 
 
-def _groups(signed: DataFrame) -> DataFrame:
-    """Rows whose signature occurs in two rows or more: a streaming pass over sorted partitions."""
+def _batch(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
 
-    def runs(batches):
-        held = None  # the last row of the batch before, and whether it was already passed on
+
+def _grouped(signed: DataFrame) -> DataFrame:
+    """Sets that share a signature, from one pass over sorted partitions.
+
+    Groups of up to ``FREQUENT`` sets give their pairs (kind 0: x and y are sets),
+    larger ones their members (kind 1: x is the signature, y a set). A task holds
+    one batch and at most ``FREQUENT`` rows of the group before it.
+    """
+    names = ["kind", "x", "y", "spare"]
+
+    def out(kind: int, x: np.ndarray, y: np.ndarray, spare: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(spare)], names=names)
+
+    def whole(sig: np.ndarray, sets: np.ndarray, spare: np.ndarray):
+        """Complete groups."""
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(first, len(sig)))
+        each = np.repeat(size, size)
+        if (large := each > FREQUENT).any():
+            yield out(1, sig[large], sets[large], spare[large])
+        for step in range(1, min(FREQUENT, int(size.max()))):
+            i = np.flatnonzero((sig[step:] == sig[:-step]) & ~large[step:])
+            if len(i):
+                yield out(0, sets[i], sets[i + step], np.minimum(spare[i], spare[i + step]))
+
+    def group(batches):
+        held, hot, passed = None, None, None  # rows of the last group; or its signature and last set, if it is large already
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held[0], batch])
-            sig = table.column("sig").to_numpy()
-            same = sig[1:] == sig[:-1]
-            keep = np.zeros(len(sig), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
+            rows = [np.asarray(batch.column(i)) for i in range(3)]
             if held is not None:
-                keep[0] &= not held[1]
-                passed_first = held[1]
-            else:
-                passed_first = False
-            last_passed = bool(keep[-1]) or (len(sig) == 1 and passed_first)
-            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
-            held = (pa.record_batch([table.column(i).slice(len(sig) - 1).combine_chunks() for i in range(3)],
-                                    names=table.column_names), last_passed)
-
-    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(runs, "sig long, doc_id long, spare int")
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            sig, sets, spare = rows
+            new = np.append(True, (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1]))
+            if hot is not None:
+                more = (sig == hot) & new & (sets != passed)
+                if more.any():
+                    yield out(1, sig[more], sets[more], spare[more])
+                    passed = sets[more][-1]
+                new &= sig != hot
+            sig, sets, spare = sig[new], sets[new], spare[new]
+            held = None
+            if len(sig):
+                cut = int(np.flatnonzero(sig != sig[-1])[-1]) + 1 if sig[0] != sig[-1] else 0
+                if cut:
+                    yield from whole(sig[:cut], sets[:cut], spare[:cut])
+                hot = passed = None
+                if len(sig) - cut > FREQUENT:
+                    yield out(1, sig[cut:], sets[cut:], spare[cut:])
+                    hot, passed = sig[-1], sets[-1]
+                else:
+                    held = [sig[cut:], sets[cut:], spare[cut:]]
+        if held is not None:
+            yield from whole(*held)
+
+    return signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(group, "kind int, x long, y long, spare int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -243,66 +275,63 @@ def ngram_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     Bands(percent)
     profile = stored(set_profiles(docs, n), "profiles")
     named = profile.where("doc_id is not null and n_shingles > 0")
-    sets = named.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    owner = stored(named.join(sets, ["fp_a", "fp_b", "n_shingles"]).select("doc_id", "rep", "n_shingles"), "owners")
-    owner_of = owner.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("size"),
-                                           F.min("n_shingles").alias("small"))
-
-    groups = _groups(_signed(docs, n, percent))
-    groups = stored(groups, "groups")
-    members = groups.join(owner_of, "doc_id").groupBy("sig", F.col("rep").alias("doc_id")).agg(
-        F.min("spare").alias("spare"), F.max("size").alias("size"), F.min("small").alias("small"))
-    members = stored(members, "members")
-    counts = members.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
-    counts = stored(counts, "counts")
-    members = members.join(counts, "sig")
-    usual = members.where(F.col("members") <= FREQUENT)
-    frequent = members.where(F.col("members") > FREQUENT)
+    sets = stored(named.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
+    found = stored(_grouped(_signed(docs, n, percent)), "grouped")
+
     # Frequent signatures of a set, against those it can spare; the sets that
     # signed everything (-1) can spare none and meet every member.
-    load = frequent.groupBy("doc_id").agg(F.count("*").alias("load"), F.min("spare").alias("least"))
-    frequent = stored(frequent.join(load, "doc_id").select(
-        "sig", "doc_id", "size", "small", (F.col("least") < 0).alias("short"), (F.col("load") > F.col("least")).alias("full")),
-        "frequent")
+    frequent = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set"), "spare")
+    load = stored(frequent.groupBy("set").agg(F.count("*").alias("load"), F.min("spare").alias("least")), "load")
+    pairs = found.where("kind = 0").groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("spare").alias("spare"))
+    pairs = (pairs.join(load.select(F.col("set").alias("x"), F.col("load").alias("load_x")), "x", "left")
+             .join(load.select(F.col("set").alias("y"), F.col("load").alias("load_y")), "y", "left")
+             .where(F.col("shared") > F.col("spare") - F.least(F.coalesce("load_x", F.lit(0)), F.coalesce("load_y", F.lit(0)))))
+    set_of = sets.select(F.col("fp_a").alias("set"), F.col("rep").alias("doc"), F.col("n_shingles").alias("size"))
+
+    def alike() -> Column:
+        return 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
+
+    other = set_of.select(F.col("set").alias("y"), F.col("doc").alias("o_doc"), F.col("size").alias("o_size"))
+    pairs = stored(pairs.join(set_of.withColumnRenamed("set", "x"), "x").join(other, "y").where(alike()).select(
+        F.least("doc", "o_doc").alias("a"), F.greatest("doc", "o_doc").alias("b"), "shared").where("a < b"), "pairs")
+
+    frequent = frequent.join(load, "set").select(
+        "sig", "set", (F.col("least") < 0).alias("short"), (F.col("load") > F.col("least")).alias("full"))
     with_short = frequent.where("short").select("sig").distinct()
-    light = frequent.where("not full").join(with_short, "sig", "left_semi")
-    usual = usual.select("sig", "doc_id", "size", "small", F.lit(True).alias("full"), F.lit(False).alias("short"))
-    active = stored(usual.unionByName(frequent.where("full")).unionByName(light), "active")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.where(100 * F.least("size", "o_size") >= percent * F.greatest("small", "o_small"))
-
-    # A group's members against its smallest heavy id.
-    centre = active.where("full").groupBy("sig").agg(F.min(F.struct("doc_id", "size", "small")).alias("c"))
-    stars = active.join(centre, "sig").where("doc_id <> c.doc_id").select(
-        F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"),
-        "size", "small", F.col("c.size").alias("o_size"), F.col("c.small").alias("o_small"))
-    stars = stored(sized(stars).select("a", "b").distinct(), "stars")
-
-    wanted = active.select("doc_id").distinct()
+    active = frequent.where("full").unionByName(frequent.where("not full").join(with_short, "sig", "left_semi"))
+    active = stored(active.join(set_of, "set").drop("set"), "active")
+    centre = active.where("full").groupBy("sig").agg(F.min(F.struct("doc", "size")).alias("c"))
+    stars = active.join(centre, "sig").withColumn("o_size", F.col("c.size")).where("doc <> c.doc").where(alike()).select(
+        F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    first = stored(stars.unionByName(best).distinct(), "first")
+
+    wanted = active.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("doc", "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    links = stored(_verified(stars, texts, n, percent), "links")
+    links = stored(_verified(first, texts, n, percent), "links")
 
-    # Members of a group in different components, each pair once.
-    root = components(links).withColumnRenamed("node", "doc_id")
-    rooted = stored(active.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+    # What is left: pairs in different components.
+    root = components(links)
+    rooted = stored(active.join(root, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc")).drop("node"), "rooted")
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     rooted = rooted.join(mixed, "sig", "left_semi")
-    other = rooted.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "size", "small", "short", "full", "root")))
-    rest = rooted.join(other, "sig").where(
-        "doc_id < o_doc_id and root <> o_root and (full and o_full or short or o_short)")
-    rest = sized(rest).select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")).distinct()
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_verified(rest, texts, n, percent))
+    others = rooted.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "size", "short", "full", "root")))
+    crossing = rooted.join(others, "sig").where("doc < o_doc and root <> o_root and (full and o_full or short or o_short)")
+    crossing = crossing.where(alike()).select(F.col("doc").alias("a"), F.col("o_doc").alias("b"))
+    ends = [root.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"]
+    apart = pairs.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = stored(crossing.unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+    links = stored(links.unionByName(_verified(rest, texts, n, percent)), "links")
 
     root = components(links).withColumnRenamed("node", "rep")
     # A repeated doc_id joins the sets of its rows.
-    both = owner.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    several = owner.groupBy("doc_id").agg(F.countDistinct("rep").alias("reps")).where("reps > 1").select(F.col("doc_id").alias("a"))
-    if not several.isEmpty():
-        again = links.unionByName(both.join(several, "a", "left_semi"))
-        root = components(again).withColumnRenamed("node", "rep")
+    owner = named.join(sets, ["fp_a", "fp_b", "n_shingles"]).select("doc_id", "rep").distinct()
+    several = owner.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
+    joined = stored(owner.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "joined")
+    if not joined.isEmpty():
+        root = components(links.unionByName(joined)).withColumnRenamed("node", "rep")
     rooted_sets = sets.join(root, "rep", "left").select(
         "fp_a", "fp_b", "n_shingles", F.col("rep").alias("set_id"), F.coalesce("root", "rep").alias("component_id"))
     return profile.join(rooted_sets, ["fp_a", "fp_b", "n_shingles"], "left").select(
