@@ -70,10 +70,12 @@ class Matcher:
         self.known = {w: log((1 + total) / (1 + n)) + 1 for w, n in frequency.items()}
         self.other = log((1 + total) / 2) + 1
         self.templates = {k: self._vector(words_of(t)) for k, t in TEMPLATES.items()}
-        # A window needs a rarer word of some template.
-        weights = sorted(self.known.values())
-        middle = weights[len(weights) // 2] if weights else 0.0
-        self.telling = {w for w, v in self.known.items() if v >= middle}
+        # A line counts only if it holds one of the rarer words of some template.
+        self.telling = set()
+        for text in TEMPLATES.values():
+            words = set(words_of(text))
+            middle = sorted(self.known.get(w, self.other) for w in words)[len(words) // 2]
+            self.telling |= {w for w in words if self.known.get(w, self.other) >= middle}
 
     def _vector(self, words: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
@@ -153,11 +155,12 @@ def licensed(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text): documents as files ``source/lang/shelf/name``; a document that opens
-    with a short notice is its shelf's license file."""
-    first = F.split(F.col("text").cast("string"), "\n")[0]
-    notice = F.lower(first).rlike("licen[cs]e") & (F.length(first) <= 120)
+    """(doc_id, path, text): documents as files ``source/lang/shelf/name``; a document of up to 3,000
+    characters with a short line that names a license is a license file of its shelf."""
+    text = F.col("text").cast("string")
+    notice = (F.length(text) <= 3000) & F.exists(F.split(text, "\n"), lambda x: (F.length(x) <= 120) & F.lower(x).rlike("licen[cs]e"))
     name = F.when(notice, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    shelf = F.floor(F.col("doc_id") / 200).cast("string")
-    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), shelf, name).alias("path"), "text")
+    shelf = F.floor(F.col("doc_id") / 1000).cast("string")
+    folders = [F.coalesce(F.col("source"), F.lit("unknown")), F.coalesce(F.col("lang"), F.lit("unknown")), shelf]
+    return docs.select("doc_id", F.concat_ws("/", *folders, name).alias("path"), "text")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evospark.llm import mixing, ngram_join, packing, pii, quality_rules
+from evospark.llm import (
+    licenses, mixing, ngram_join, packing, paragraph_dedup, pii, quality_rules, sharding, token_output, topk,
+)
 from evospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +35,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "mix.*")
 
 
+@_register
+def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.ring_shards(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
@@ -43,5 +50,25 @@ def op6_pii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_table(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
+@_register
+def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_documents(token_output.write_shards(table(spark, sf_dir, "documents")))
+
+
 #: SQL of the queries that it can express.
 CHECKS: dict[str, str] = {}
