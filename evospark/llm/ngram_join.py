@@ -14,8 +14,11 @@ is then equal on both sides.
   twice; where even that falls short (tiny sets only) it signs its subsets with
   up to H deletions.
 * Cost: a signature's cost is its measured frequency. A set whose frequent
-  signatures fit into its spare ones leaves them all out; only the other sets
-  meet in frequent groups.
+  signatures fit into its spare ones leaves them all out.
+* The other sets are allocated anew with one segment per element. What a pair
+  can share is then bounded by its shared rare elements plus the smaller number
+  of frequent ones, so only sets that consist of frequent elements for the most
+  part meet through those, and only by their rarest ones (prefix filter).
 * A linked pair whose sets have spare signatures shares more than one of them,
   so the number of shared signatures rules out most chance pairs.
 * Candidates are first compared along a few pairs per set (the partner with most
@@ -31,7 +34,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evospark.llm.common import batch_words, components, mix, ngram_hashes, stored
@@ -181,6 +184,23 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.mapInArrow(sign, "sig long, set long, spare int")
 
 
+def _elements(docs: DataFrame, n: int) -> DataFrame:
+    """(sig, set, spare): every element of every set, with the document as the set."""
+
+    def spread(batches):
+        for batch in batches:
+            rows: list[list[np.ndarray]] = []
+            for doc_id, elements in zip(batch.column("doc_id").to_pylist(), _sets(batch, n), strict=True):
+                rows.append([elements.view(np.int64), np.full(len(elements), doc_id, np.int64), np.zeros(len(elements), np.int32)])
+                if len(rows) == 256:
+                    yield _batch(rows, ["sig", "set", "spare"])
+                    rows = []
+            if rows:
+                yield _batch(rows, ["sig", "set", "spare"])
+
+    return docs.select("doc_id", "text").mapInArrow(spread, "sig long, set long, spare int")
+
+
 def _batch(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
 
@@ -298,17 +318,32 @@ def ngram_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     frequent = frequent.join(load, "set").select(
         "sig", "set", (F.col("least") < 0).alias("short"), (F.col("load") > F.col("least")).alias("full"))
     with_short = frequent.where("short").select("sig").distinct()
-    active = frequent.where("full").unionByName(frequent.where("not full").join(with_short, "sig", "left_semi"))
-    active = stored(active.join(set_of, "set").drop("set"), "active")
-    centre = active.where("full").groupBy("sig").agg(F.min(F.struct("doc", "size")).alias("c"))
+    crowded = frequent.where("full").unionByName(frequent.where("not full").join(with_short, "sig", "left_semi"))
+    crowded = stored(crowded.select("set").distinct().join(set_of, "set").select("doc", "size"), "crowded")
+    wanted = crowded.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("doc", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+
+    # The crowded sets, element by element.
+    single = stored(_grouped(_elements(texts.join(crowded.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), n)), "single")
+    common = single.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("doc")).distinct()
+    load = stored(common.groupBy("doc").agg(F.count("*").alias("load")).join(crowded, "doc"), "load")
+    loads = [crowded.join(load.select("doc", "load"), "doc", "left").select(
+        F.col("doc").alias(s), F.col("size").alias(f"size_{s}"), F.coalesce("load", F.lit(0)).alias(f"load_{s}")) for s in "xy"]
+    found = single.where("kind = 0").groupBy("x", "y").agg(F.count("*").alias("shared")).join(loads[0], "x").join(loads[1], "y")
+    found = found.where((100 + percent) * (F.col("shared") + F.least("load_x", "load_y")) >= percent * (F.col("size_x") + F.col("size_y")))
+    pairs = stored(pairs.unionByName(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared"))
+                   .groupBy("a", "b").agg(F.max("shared").alias("shared")), "candidates")
+    needed = F.ceil(F.col("size") * percent / 100)
+    frequency = common.groupBy("sig").agg(F.count("*").alias("frequency"))
+    ranked = common.join(load.where(F.col("load") >= needed), "doc").join(frequency, "sig").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("doc").orderBy("frequency", "sig")))
+    active = stored(ranked.where(F.col("rank") <= F.col("load") - needed + 1).select("sig", "doc", "size", "load"), "active")
+    centre = active.groupBy("sig").agg(F.min(F.struct("doc", "size")).alias("c"))
     stars = active.join(centre, "sig").withColumn("o_size", F.col("c.size")).where("doc <> c.doc").where(alike()).select(
         F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     first = stored(stars.unionByName(best).distinct(), "first")
-
-    wanted = active.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("doc", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     links = stored(_verified(first, texts, n, percent), "links")
 
     # What is left: pairs in different components.
@@ -316,9 +351,10 @@ def ngram_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     rooted = stored(active.join(root, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc")).drop("node"), "rooted")
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     rooted = rooted.join(mixed, "sig", "left_semi")
-    others = rooted.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "size", "short", "full", "root")))
-    crossing = rooted.join(others, "sig").where("doc < o_doc and root <> o_root and (full and o_full or short or o_short)")
-    crossing = crossing.where(alike()).select(F.col("doc").alias("a"), F.col("o_doc").alias("b"))
+    others = rooted.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "size", "load", "root")))
+    enough = (100 + percent) * F.least("load", "o_load") >= percent * (F.col("size") + F.col("o_size"))
+    crossing = rooted.join(others, "sig").where("doc < o_doc and root <> o_root").where(alike() & enough).select(
+        F.col("doc").alias("a"), F.col("o_doc").alias("b"))
     ends = [root.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"]
     apart = pairs.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
