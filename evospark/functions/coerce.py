@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cell texts that mean "no value".
@@ -50,7 +50,7 @@ def float_or_null(col: Column) -> Column:
 
 
 def bool_or_null(col: Column) -> Column:
-    """Boolean of a text cell; other numbers count by being non-zero."""
+    """Boolean of a text cell; texts outside the word lists are NULL."""
     text = col.cast("string")
     word = F.lower(stripped(text))
     return (
@@ -65,6 +65,27 @@ def number_as_bool(col: Column) -> Column:
     return F.when(col.isNotNull(), col != 0)
 
 
+def _was_number(field: str) -> Column:
+    return F.array_contains("number_fields", field)
+
+
+def with_number_fields(records: DataFrame) -> DataFrame:
+    """Records from elsewhere than JSON may lack the list of their number fields."""
+    if "number_fields" in records.columns:
+        return records
+    return records.withColumn("number_fields", F.array().cast("array<string>"))
+
+
+def record_int(field: str) -> Column:
+    """Integer of an upload record's field; JSON numbers truncate."""
+    return F.when(_was_number(field), int_or_null(F.col(field), from_number=True)).otherwise(int_or_null(F.col(field)))
+
+
+def record_bool(field: str) -> Column:
+    """Boolean of an upload record's field; JSON numbers count by being non-zero."""
+    return F.when(_was_number(field), number_as_bool(float_or_null(F.col(field)))).otherwise(bool_or_null(F.col(field)))
+
+
 def finite(col: Column) -> Column:
     """Double with NaN and infinities turned into NULL."""
     value = col.try_cast("double")

@@ -90,21 +90,26 @@ def domain_enrichment(
     )
 
 
-def enrichment_matrix(
-    enrichment: DataFrame, generations: DataFrame, metric: str, generation_numbers: Sequence[int]
-) -> DataFrame:
+def generation_columns(generations: DataFrame) -> list[int]:
+    """Generation numbers of a campaign in order: the columns of a matrix."""
+    rows = generations.where("generation_number is not null").select("generation_number").distinct().collect()
+    return sorted(int(r[0]) for r in rows)
+
+
+def enrichment_matrix(enrichment: DataFrame, generations: DataFrame, metric: str) -> DataFrame:
     """Heat matrix: feature label x generation, mean over duplicates, zero fill,
-    with the row total. Columns are named ``g<number>``."""
+    with the row total. Every generation has a column ``g<number>``."""
+    generation_numbers = generation_columns(generations)
     numbered = enrichment.join(
         generations.select("generation_id", "generation_number"), "generation_id"
     )
     wide = (
         numbered.groupBy("domain_label")
-        .pivot("generation_number", [int(g) for g in generation_numbers])
+        .pivot("generation_number", generation_numbers)
         .agg(F.avg(metric))
     )
-    cells = [F.coalesce(F.col(f"`{int(g)}`"), F.lit(0.0)).alias(f"g{int(g)}") for g in generation_numbers]
-    total = sum((F.col(f"g{int(g)}") for g in generation_numbers), F.lit(0.0))
+    cells = [F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias(f"g{g}") for g in generation_numbers]
+    total = sum((F.col(f"g{g}") for g in generation_numbers), F.lit(0.0))
     return wide.select("domain_label", *cells).withColumn("total", total)
 
 
@@ -133,16 +138,19 @@ def position_totals(frequency: DataFrame) -> DataFrame:
     return frequency.groupBy("experiment_id", "position").agg(F.sum("mutations").alias("total"))
 
 
-def frequency_matrix(frequency: DataFrame, generation_numbers: Sequence[int]) -> DataFrame:
-    """Position x generation matrix with zero fill; columns ``g<number>``."""
+def frequency_matrix(frequency: DataFrame, generations: DataFrame) -> DataFrame:
+    """Position x generation matrix with zero fill; every generation that the
+    table or the frequencies hold has a column ``g<number>``."""
+    numbers = generations.select("generation_number").union(frequency.select("generation_number"))
+    generation_numbers = generation_columns(numbers)
     wide = (
         frequency.groupBy("experiment_id", "position")
-        .pivot("generation_number", [int(g) for g in generation_numbers])
+        .pivot("generation_number", generation_numbers)
         .agg(F.sum("mutations"))
     )
     return wide.select(
         "experiment_id", "position",
-        *[F.coalesce(F.col(f"`{int(g)}`"), F.lit(0)).alias(f"g{int(g)}") for g in generation_numbers],
+        *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(f"g{g}") for g in generation_numbers],
     )
 
 

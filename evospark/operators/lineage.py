@@ -119,7 +119,7 @@ def nearest_index_edges(nodes: DataFrame, max_distance: float = 3.0) -> DataFram
     )
 
 
-def lineage_closure(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def lineage_closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """All (ancestor, descendant, distance) pairs of a forest, self rows at 0.
 
     Pointer doubling: every round joins the paths of full length 2^k with all
@@ -134,7 +134,7 @@ def lineage_closure(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) ->
         ).distinct()
     )
     longest, reach = paths, 1
-    for _ in range(max_rounds):
+    while True:
         upper = paths.select(
             F.col("descendant_id").alias("_mid"), "ancestor_id", F.col("distance").alias("_more")
         )
@@ -150,8 +150,6 @@ def lineage_closure(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) ->
         paths = paths.unionByName(grown)
         reach *= 2
         longest = grown.where(F.col("distance") == reach)
-    else:
-        raise ValueError("the lineage is deeper than the allowed number of rounds")
     self_rows = nodes.select(
         F.col("variant_id").alias("ancestor_id"),
         F.col("variant_id").alias("descendant_id"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evospark.functions.coerce import bool_or_null, float_or_null, int_or_null, not_nan
+from evospark.functions.coerce import float_or_null, not_nan, record_bool, record_int, with_number_fields
 from evospark.functions.keys import control_key, generation_key
 from evospark.functions.quantiles import exact_percentiles
 
@@ -102,11 +102,12 @@ def generations_without_baseline(generations: DataFrame, baselines: DataFrame) -
 
 def control_means(records: DataFrame) -> DataFrame:
     """Control replicates of an upload, averaged per generation, as long rows."""
+    records = with_number_fields(records)
     means = (
-        records.where(F.coalesce(bool_or_null(F.col("control")), F.lit(False)))
+        records.where(F.coalesce(record_bool("control"), F.lit(False)))
         .groupBy(
             "experiment_id",
-            F.coalesce(int_or_null(F.col("generation")), F.lit(0)).alias("generation_number"),
+            F.coalesce(record_int("generation"), F.lit(0)).alias("generation_number"),
         )
         .agg(
             F.avg(float_or_null(F.col("dna_yield"))).alias("dna_yield_raw"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
 from evospark.functions.once import evaluated_once
-from evospark.session import spread_if_small
+from evospark.session import spread
 from evospark.schemas import MUTATION_STRUCT
 
 NONSYNONYMOUS_KINDS = ["NONSYNONYMOUS", "NONSENSE", "INSERTION", "DELETION"]
@@ -94,7 +94,7 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
     ``approximate`` marks rows where that block holds more than one event.
     """
     df = (
-        spread_if_small(rows)
+        spread(rows)
         .withColumn("_wt", D.normalise_dna(F.col(wt)))
         .withColumn("_var", D.normalise_dna(F.col(var)))
         .withColumn("_w", D.codons(F.col("_wt")))

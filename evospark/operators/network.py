@@ -1,7 +1,7 @@
 """Similarity networks among the selected variants of every experiment.
 
 A network is drawn for a selection of variants (best N, top-10 and their
-neighbours, capped): that selection is the feature and it bounds the pairs of
+neighbours): that selection is the feature and it bounds the pairs of
 one experiment. All experiments are processed in one job.
 """
 
@@ -30,7 +30,7 @@ class NetworkOptions:
     top_n: int = 250
     include_top10: bool = True
     neighbours_per_top10: int = 25
-    max_nodes: int = 350
+    max_nodes: int | None = None
     identity_threshold: float = 0.95
     min_shared: int = 1
     jaccard_threshold: float | None = None
@@ -42,16 +42,17 @@ def page_options(
     *, max_nodes: int = 20, min_shared: int = 1, jaccard: float | None = None,
     pearson: float | None = 0.20, preset: str | None = None,
 ) -> NetworkOptions:
-    """Options as a network page accepts them: out-of-range values fall back,
-    a preset replaces the edge filters."""
-    nodes = max_nodes if max_nodes in PAGE_NODE_COUNTS else 20
+    """Options as a network page accepts them: thresholds are clipped, a preset
+    replaces the edge filters, and a node count must be one of the page's."""
+    if max_nodes not in PAGE_NODE_COUNTS:
+        raise ValueError(f"max_nodes must be one of {PAGE_NODE_COUNTS}")
     shared = max(1, int(min_shared))
     if preset in EDGE_PRESETS:
         shared, jaccard = EDGE_PRESETS[preset]
     if pearson is not None:
         pearson = max(-1.0, min(1.0, float(pearson)))
     return NetworkOptions(
-        top_n=nodes, max_nodes=nodes, min_shared=shared, jaccard_threshold=jaccard,
+        top_n=max_nodes, max_nodes=max_nodes, min_shared=shared, jaccard_threshold=jaccard,
         pearson_threshold=pearson,
     )
 
@@ -116,7 +117,8 @@ def similar_sequences(left: DataFrame, right: DataFrame, threshold: float) -> Da
 
 def select_nodes(nodes: DataFrame, options: NetworkOptions, *, need_sequence: bool = True) -> DataFrame:
     """Variants shown in each experiment's network: best N, the top-10, their
-    nearest unselected neighbours, then the cap by (top-10, activity)."""
+    nearest unselected neighbours; with ``max_nodes``, the first of them by
+    (top-10, activity)."""
     opt = options
     pool = nodes.withColumn("activity_score", not_nan(F.col("activity_score")))
     if need_sequence:
@@ -153,11 +155,11 @@ def select_nodes(nodes: DataFrame, options: NetworkOptions, *, need_sequence: bo
     kept = pool.join(chosen, ids, "left_semi")
     # The selection is small and every edge builder reads it several times, so
     # it is written once instead of being scored and ranked again for each use.
-    return cut_lineage(
-        top_k(
+    if opt.max_nodes is not None:
+        kept = top_k(
             kept, ["experiment_id"], [F.col("is_top10").desc_nulls_last(), *best_first()], opt.max_nodes
         ).drop("rank")
-    )
+    return cut_lineage(kept)
 
 
 def similarity_edges(selected: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -272,7 +274,7 @@ def phi_edges(selected: DataFrame, mutations: DataFrame, threshold: float) -> Da
     return edges.select("experiment_id", "u", "v", "pearson")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id reachable from every node, per experiment.
 
     Every round passes the smallest known label over the edges and then jumps to
@@ -284,7 +286,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     )
     nodes = cut_lineage(nodes.select("experiment_id", "variant_id").distinct())
     labels = nodes.select(F.col("variant_id").alias("node"), F.col("variant_id").alias("component"))
-    for _ in range(max_rounds):
+    while True:
         heard = (
             both.join(labels.withColumnRenamed("node", "v"), "v")
             .groupBy(F.col("u").alias("node"))
@@ -303,8 +305,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         labels = new.drop("_old")
         if settled:
             break
-    else:
-        raise RuntimeError("components did not settle within the allowed rounds")
     return nodes.join(labels.withColumnRenamed("node", "variant_id"), "variant_id")
 
 

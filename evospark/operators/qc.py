@@ -7,9 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evospark.functions.coerce import FLOAT_LITERAL, INT_TEXT, float_or_null, int_or_null, not_nan, stripped
+from evospark.functions.coerce import FLOAT_LITERAL, INT_TEXT, float_or_null, not_nan, record_int, stripped
 from evospark.functions.quantiles import wide_percentiles
-from evospark.session import spread_if_small
+from evospark.session import spread
 from evospark.sources.uploads import REQUIRED_FIELDS
 
 
@@ -82,7 +82,7 @@ def check_records(
     """
     keys = keys or ["file_path"]
     opt = options
-    records = spread_if_small(records)
+    records = spread(records)
     df = records
     if opt.percentile_mode:
         limits = thresholds if thresholds is not None else adaptive_thresholds(records, keys, opt)
@@ -142,11 +142,6 @@ def check_records(
     )
 
 
-def _ints(records: DataFrame, field: str) -> Column:
-    number = F.array_contains("number_fields", field)
-    return F.when(number, int_or_null(F.col(field), from_number=True)).otherwise(int_or_null(F.col(field)))
-
-
 def duplicate_indices(records: DataFrame, scope: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Every record whose variant index occurs more than once in its scope
     (add ``generation`` to the scope for the storage key)."""
@@ -159,7 +154,7 @@ def duplicate_indices(records: DataFrame, scope: tuple[str, ...] = ("file_path",
 def generation_gaps(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Ranges of generation numbers missing between the smallest and largest."""
     keys = keys or ["file_path"]
-    gens = records.select(*keys, _ints(records, "generation").alias("_g")).where("_g is not null").distinct()
+    gens = records.select(*keys, record_int("generation").alias("_g")).where("_g is not null").distinct()
     step = Window.partitionBy(*keys).orderBy("_g")
     return (
         gens.withColumn("_next", F.lead("_g").over(step))
@@ -172,7 +167,7 @@ def without_generation_zero(records: DataFrame, keys: list[str] | None = None) -
     """Files that have generations but no generation 0."""
     keys = keys or ["file_path"]
     return (
-        records.select(*keys, _ints(records, "generation").alias("_g"))
+        records.select(*keys, record_int("generation").alias("_g"))
         .groupBy(*keys)
         .agg(F.count("_g").alias("_n"), F.count_if(F.col("_g") == 0).alias("_zero"))
         .where("_n > 0 and _zero = 0")
@@ -183,10 +178,10 @@ def without_generation_zero(records: DataFrame, keys: list[str] | None = None) -
 def orphan_parents(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Records outside generation 0 whose parent index is not in the file."""
     keys = keys or ["file_path"]
-    ids = records.select(*keys, _ints(records, "variant_index").alias("_parent")).where("_parent is not null").distinct()
+    ids = records.select(*keys, record_int("variant_index").alias("_parent")).where("_parent is not null").distinct()
     wanted = records.select(
         *keys, "_row_number", "parent_variant_index",
-        _ints(records, "parent_variant_index").alias("_parent"), _ints(records, "generation").alias("_g"),
+        record_int("parent_variant_index").alias("_parent"), record_int("generation").alias("_g"),
     ).where("_parent is not null and (_g is null or _g <> 0)")
     return wanted.join(ids, [*keys, "_parent"], "left_anti").select(*keys, "_row_number", "parent_variant_index")
 

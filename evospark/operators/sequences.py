@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evospark.functions import dna as D
 from evospark.functions.once import evaluated_once
-from evospark.session import spread_if_small
+from evospark.session import spread
 
 ANCHOR = 30  # bases of an anchor; anchors shorter than half of it do not count
 PADDING = 150  # extra bases read after the wild-type length
@@ -64,7 +64,7 @@ def _plasmid_span(n: Column, strand: Column, frame: Column, start_aa: Column, si
 def validate_plasmids(rows: DataFrame, protein: str = "wt_protein", plasmid: str = "plasmid") -> DataFrame:
     """Does each plasmid (a circle) encode the protein exactly in one of its six
     frames? Adds validity, strand, 0-based inclusive coordinates and wrapping."""
-    df = spread_if_small(rows).withColumn("_p", F.upper(F.trim(F.coalesce(protein, F.lit(""))))).withColumn(
+    df = spread(rows).withColumn("_p", F.upper(F.trim(F.coalesce(protein, F.lit(""))))).withColumn(
         "_d", F.upper(F.trim(F.coalesce(plasmid, F.lit(""))))
     ).withColumn("_dd", F.concat("_d", "_d"))
     # First frame with a hit, as 8 * position + frame number: later frames are
@@ -223,7 +223,7 @@ def extract_cds(variants: DataFrame, stop_policy: str = "truncate") -> DataFrame
         raise ValueError("stop_policy must be truncate or keep_stops")
     minus = F.col("strand") == "MINUS"
     df = (
-        spread_if_small(variants, "variant_id")
+        spread(variants)
         .withColumn("_d", D.normalise_dna(F.coalesce("assembled_dna_sequence", F.lit(""))))
         .withColumn("_wt", D.normalise_dna(F.col("wt_cds")))
         .withColumn("_n", F.length("_d"))

@@ -11,10 +11,13 @@ from evospark.sources import snapshots, uploads
 
 
 def ingest_folder(spark: SparkSession, folder: str, experiments: DataFrame, variants: DataFrame,
-                  metrics: DataFrame, options: qc.QualityOptions = qc.QualityOptions()) -> dict[str, DataFrame]:
+                  metrics: DataFrame, options: qc.QualityOptions = qc.QualityOptions(),
+                  derived: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Read a folder of uploads, check them, and merge the accepted files.
 
-    ``experiments`` maps ``file_path`` to ``experiment_id``.
+    ``experiments`` maps ``file_path`` to ``experiment_id``. ``derived`` are
+    stored tables by variant (mutations, sequence analysis): they come back
+    without the rows that the upload made stale.
     """
     records = cut_lineage(uploads.read_uploads(spark, folder))
     checked = qc.check_records(records, options=options)
@@ -23,23 +26,54 @@ def ingest_folder(spark: SparkSession, folder: str, experiments: DataFrame, vari
     accepted, rejected = qc.upload_gate(checked, findings, fatal)
     scoped = accepted.join(experiments.select("file_path", "experiment_id"), "file_path")
     merged = snapshots.upsert_uploads(scoped, variants, metrics)
+    merged |= snapshots.clear_derived(derived or {}, merged["cleared"])
     return {**merged, "rejected": rejected, "fatal": fatal, "summary": qc.upload_summary(checked, findings)}
 
 
-def pending_variants(variants: DataFrame, *, force: bool = False) -> DataFrame:
-    """Variants a run has to process: those without a protein, or all."""
-    return variants if force else variants.where(F.col("protein_sequence").isNull())
+def pending_variants(variants: DataFrame, analyses: DataFrame | None = None, *, force: bool = False) -> DataFrame:
+    """Variants a run has to process: those without a protein, or all. With the
+    stored ``analyses``, variants that were processed and failed are not repeated."""
+    if force:
+        return variants
+    todo = variants.where(F.col("protein_sequence").isNull())
+    return todo if analyses is None else todo.join(analyses.select("variant_id"), "variant_id", "left_anti")
+
+
+def store_sequence_run(guarded: DataFrame, variants: DataFrame, mutations: DataFrame, metrics: DataFrame,
+                       analyses: DataFrame, experiments: DataFrame, definitions: DataFrame) -> dict[str, DataFrame]:
+    """The stored tables after a sequence run: proteins and analysis in
+    ``variants``, the run's ``mutations``, count ``metrics`` with their definition,
+    ``analyses`` and the status of the ``experiments``. Rows of other variants stay."""
+    guarded = cut_lineage(guarded)
+    done = guarded.select("variant_id")
+    found = guarded.select("variant_id", F.col("protein_aa").alias("_protein"), F.struct("mutations", "mutation_counts").alias("_analysis"), F.lit(True).alias("_ran"))
+    columns = {"protein_sequence": F.when(F.col("_ran"), F.col("_protein")).otherwise(F.col("protein_sequence"))}
+    if "sequence_analysis" in variants.columns:
+        columns["sequence_analysis"] = F.when(F.col("_ran"), F.col("_analysis")).otherwise(F.col("sequence_analysis"))
+    called = snapshots.acceptable_mutations(U.mutation_rows(guarded))
+    kept = mutations.join(done, "variant_id", "left_anti")
+    counted = snapshots.upsert_variant_metrics(metrics, U.count_metric_rows(guarded), variants)
+    status = U.run_status(guarded).withColumnRenamed("status", "_status")
+    return {
+        "variants": variants.join(found, "variant_id", "left").withColumns(columns).select(*variants.columns),
+        "mutations": snapshots.write_mutations(kept, called, overwrite=False),
+        "metrics": M.fill_definition_ids(counted, definitions),
+        "analyses": snapshots.merge_snapshot(analyses, U.analysis_rows(guarded), ["variant_id"]),
+        "experiments": experiments.join(status, "experiment_id", "left").withColumn(
+            "status", F.coalesce("_status", "status")).drop("_status"),
+    }
 
 
 def analyse_sequences(variants: DataFrame, mappings: DataFrame, *, force: bool = False,
-                      stop_policy: str = "truncate", fallback_search: bool = True) -> DataFrame:
+                      stop_policy: str = "truncate", fallback_search: bool = True,
+                      analyses: DataFrame | None = None) -> DataFrame:
     """Extract, translate and compare every pending variant of all experiments.
 
     ``mappings`` holds the wild-type mapping per experiment. Variants whose
     extraction is unreliable are searched once more with a mapping found in the
     variant's own plasmid.
     """
-    todo = pending_variants(variants, force=force).select("experiment_id", "variant_id", "assembled_dna_sequence")
+    todo = pending_variants(variants, analyses, force=force).select("experiment_id", "variant_id", "assembled_dna_sequence")
     mapping = mappings.select("experiment_id", "strand", "frame", "cds_start", "cds_end", "wt_cds", "wt_protein")
     extracted = Q.extract_cds(todo.join(mapping, "experiment_id"), stop_policy)
     # The wild-type CDS stays the reference even when a variant is remapped.

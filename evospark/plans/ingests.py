@@ -10,6 +10,7 @@ from evospark.operators import metrics as M, qc
 from evospark.plans.registry import register
 from evospark.plans.reports import rounded
 from evospark.plans.views import table, view
+from evospark.schemas import struct_of
 from evospark.session import cut_lineage, scratch_path
 from evospark.sources import exports, references, snapshots, uploads
 
@@ -344,11 +345,56 @@ def results_csv_roundtrip(spark, sf):
     return back.select("variant_id", "generation_number", "plasmid_variant_index")
 
 
-@register("event_property_values", """
-select event_id, cast(json_extract_string(props, '$.k') as int) as k from {events}""")
-def event_property_values(spark, sf):
-    """JSON payload fields, read through the same path as stored metadata."""
-    return table(spark, sf, "events").select(
-        "event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
-
-
+JSON_TURNS = """
+t as (select conv_id, conv_id % 7 as experiment_id, turn % 2 as generation_number, turn, turn % 3 = 2 as control from {conversations} where conv_id % 10 not in (3, 7)),
+v as (select distinct experiment_id, generation_number, turn from t where not control)"""
+
+
+def _number_documents(spark, sf: str) -> DataFrame:
+    """Conversations as JSON uploads with numbers for keys and controls; some
+    documents also hold an empty record or an item that is no record."""
+    record = F.to_json(F.struct(
+        (F.col("turn") + 0.7).alias("id"), (F.col("turn") % 2).alias("gen"), F.lit("ACGT" * 60).alias("sequence"),
+        F.lit(500.5).alias("dna_yield"), F.lit(40).alias("protein_yield"),
+        F.when(F.col("turn") % 3 == 2, 2).otherwise(0).alias("control")))
+    records = table(spark, sf, "conversations").select("conv_id", record.alias("_r")).groupBy("conv_id").agg(
+        F.array_join(F.collect_list("_r"), ",").alias("_r"))  # the turns of one conversation
+    tail = F.when(F.col("conv_id") % 10 == 3, ",{}").when(F.col("conv_id") % 10 == 7, ",5").otherwise("")
+    return records.select(F.col("conv_id").cast("string").alias("file_path"),
+                          F.concat(F.lit("["), "_r", tail, F.lit("]")).alias("value"))
+
+
+def _json_upload(spark, sf: str) -> dict[str, DataFrame]:
+    docs = _number_documents(spark, sf)
+    records = cut_lineage(uploads.parse_json_texts(docs))
+    checked = qc.check_records(records)
+    accepted, rejected = qc.upload_gate(
+        checked, qc.cross_record_findings(records), uploads.json_errors(docs).where("error is not null"))
+    scoped = accepted.withColumn("experiment_id", F.col("file_path").cast("bigint") % 7)
+    empty = [spark.createDataFrame([], struct_of(t)) for t in ("variants", "metrics")]
+    return {**snapshots.upsert_uploads(scoped, *empty), "rejected": rejected}
+
+
+@register("json_number_variants", "with " + JSON_TURNS + """
+select experiment_id, cast(generation_number as int) as generation_number, cast(turn as varchar(20)) as plasmid_variant_index from v""")
+def json_number_variants(spark, sf):
+    """From the scan through the gate to the merge, with keys that are JSON numbers."""
+    return _json_upload(spark, sf)["variants"].select("experiment_id", "generation_number", "plasmid_variant_index")
+
+
+@register("json_rejected_records", """
+select conv_id, cast(count(*) + case when conv_id % 10 = 3 then 1 else 0 end as bigint) as records from {conversations} where conv_id % 10 in (3, 7) group by 1""")
+def json_rejected_records(spark, sf):
+    """Documents with an empty record or a number among the records are rejected whole."""
+    return _json_upload(spark, sf)["rejected"].groupBy(F.col("file_path").cast("bigint").alias("conv_id")).agg(
+        F.count(F.lit(1)).alias("records"))
+
+
+@register("json_upload_generations", "with " + JSON_TURNS + """
+select experiment_id, cast(generation_number as int) as generation_number, bool_or(control) as has_control from t group by 1, 2""")
+def json_upload_generations(spark, sf):
+    """Generations and wild-type controls that an upload creates."""
+    out = _json_upload(spark, sf)
+    controls = out["controls"].select("generation_id", F.lit(True).alias("_c"))
+    return out["generations"].join(controls, "generation_id", "left").select(
+        "experiment_id", "generation_number", F.coalesce("_c", F.lit(False)).alias("has_control"))

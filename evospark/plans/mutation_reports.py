@@ -10,7 +10,7 @@ from evospark.plans.registry import register
 from evospark.plans.reports import LATEST, rounded
 from evospark.plans.views import view
 
-GENERATIONS = list(range(7))
+GENERATIONS = list(range(7))  # of the given campaign, for the SQL; the operators read them from the table
 
 ENRICHED = """
 enriched as (
@@ -56,8 +56,8 @@ _SUM = " + ".join(f"g{g}" for g in GENERATIONS)
 wide as (select domain_label, {_CELLS} from enriched join {{generations}} g on g.generation_id = enriched.generation_id group by 1)
 select domain_label, {', '.join(f'round(g{g}, 6) as g{g}' for g in GENERATIONS)}, round({_SUM}, 6) as total from wide""")
 def enrichment_matrix(spark, sf):
-    df = D.enrichment_matrix(_enrichment(spark, sf), view(spark, sf, "generations"), "nonsyn_count", GENERATIONS)
-    return rounded(df, *[f"g{g}" for g in GENERATIONS], "total")
+    df = D.enrichment_matrix(_enrichment(spark, sf), view(spark, sf, "generations"), "nonsyn_count")
+    return rounded(df, *[c for c in df.columns if c != "domain_label"])
 
 
 @register("top_domains", "with " + ENRICHED + """
@@ -86,7 +86,7 @@ def mutation_frequency(spark, sf):
 @register("frequency_matrix", "with " + FREQ + " select experiment_id, position, " + ", ".join(
     f"cast(coalesce(sum(mutations) filter (where generation_number = {g}), 0) as bigint) as g{g}" for g in GENERATIONS) + " from freq group by 1, 2")
 def frequency_matrix(spark, sf):
-    return D.frequency_matrix(_frequency(spark, sf), GENERATIONS)
+    return D.frequency_matrix(_frequency(spark, sf), view(spark, sf, "generations"))
 
 
 @register("mutation_hotspots", "with " + FREQ + """,

@@ -11,7 +11,7 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evospark.session import spread_if_small
+from evospark.session import spread as spread_rows
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -206,7 +206,7 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, *, spread: bool = False)
     names = _placeholders(sql)
     frames = {n: view(spark, sf_dir, n) for n in names if n not in SPARK_PARTS}
     if spread:
-        frames = {n: spread_if_small(df) if n in TABLES else df for n, df in frames.items()}
+        frames = {n: spread_rows(df) if n in TABLES else df for n, df in frames.items()}
     for part, text in SPARK_PARTS.items():
         sql = sql.replace("{" + part + "}", text)
     return spark.sql(sql, **frames)

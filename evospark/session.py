@@ -61,22 +61,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread_if_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a small input before costly row work.
-
-    A table below one file split per core tends to arrive in a few tasks. Larger
-    inputs fill all cores already and are left alone, without a shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    # Sum over the inputs: Spark's own estimate of a join is their product.
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    size = 0
-    while leaves.hasNext():
-        size += int(str(leaves.next().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split else df
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions before costly row work; AQE sizes them and splits large ones."""
+    return df.hint("rebalance")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

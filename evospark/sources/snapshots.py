@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evospark.functions.coerce import bool_or_null, float_or_null, int_or_null
+from evospark.functions.coerce import float_or_null, record_bool, record_int, with_number_fields
 from evospark.functions.keys import control_key, generation_key, surrogate, variant_key
 from evospark.operators.lineage import resolve_parents
 from evospark.operators.metrics import control_means
@@ -126,18 +126,20 @@ def upsert_uploads(records: DataFrame, variants: DataFrame, metrics: DataFrame)
     metadata and clears everything derived; the parent of an existing variant
     stays. Control rows become one averaged baseline per generation and remove
     a variant stored under their key. Returns the new ``variants`` and
-    ``metrics``, the ``cleared`` variant ids and the ``counts``.
+    ``metrics``, the rows of the upload's ``generations`` and ``controls``, the
+    ``cleared`` variant ids and the ``counts``.
     """
     keys = ["experiment_id", "generation_number", "plasmid_variant_index"]
+    records = with_number_fields(records)
     typed = records.select(
         "experiment_id",
-        F.coalesce(int_or_null(F.col("generation")), F.lit(0)).cast("int").alias("generation_number"),
-        F.coalesce(int_or_null(F.col("variant_index")), F.lit(0)).cast("string").alias("plasmid_variant_index"),
-        int_or_null(F.col("parent_variant_index")).alias("parent_variant_index"),
+        F.coalesce(record_int("generation"), F.lit(0)).cast("int").alias("generation_number"),
+        F.coalesce(record_int("variant_index"), F.lit(0)).cast("string").alias("plasmid_variant_index"),
+        record_int("parent_variant_index").alias("parent_variant_index"),
         "assembled_dna_sequence",
         float_or_null(F.col("dna_yield")).alias("dna_yield_raw"),
         float_or_null(F.col("protein_yield")).alias("protein_yield_raw"),
-        F.coalesce(bool_or_null(F.col("control")), F.lit(False)).alias("is_control"),
+        F.coalesce(record_bool("control"), F.lit(False)).alias("is_control"),
         "metadata",
         "file_path",
         "_row_number",
@@ -204,9 +206,19 @@ def upsert_uploads(records: DataFrame, variants: DataFrame, metrics: DataFrame)
     variant_counts = keyed.groupBy("experiment_id").agg(
         F.count_if("_is_new").alias("inserted"),
         F.sum(F.when(F.col("_is_new"), F.col("_times") - 1).otherwise(F.col("_times"))).alias("updated"))
+    generations = typed.select("experiment_id", "generation_number").distinct().select(
+        generation_key("experiment_id", "generation_number").alias("generation_id"), "experiment_id", "generation_number")
+    controls = control_gens.select(
+        "wt_control_id", generation_key("experiment_id", "generation_number").alias("generation_id"))
     counts = variant_counts.unionByName(control_counts).groupBy("experiment_id").agg(
         F.sum("inserted").alias("inserted"), F.sum("updated").alias("updated"))
-    return {"variants": new_variants, "metrics": new_metrics, "cleared": cleared, "counts": counts}
+    return {"variants": new_variants, "metrics": new_metrics, "generations": generations, "controls": controls,
+            "cleared": cleared, "counts": counts}
+
+
+def clear_derived(tables: dict[str, DataFrame], cleared: DataFrame) -> dict[str, DataFrame]:
+    """Stored tables (mutations, sequence analysis) without the rows of re-uploaded variants."""
+    return {name: df.join(cleared.select("variant_id").distinct(), "variant_id", "left_anti") for name, df in tables.items()}
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evospark.functions.coerce import stripped
+from evospark.session import spread
 
 # Known fields and the header names each of them accepts.
 REQUIRED_FIELDS = ["variant_index", "generation", "assembled_dna_sequence", "dna_yield", "protein_yield"]
@@ -179,38 +180,47 @@ def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _json_items(text: Column) -> Column:
+    """The records of a JSON document as variants; NULL where there is no array of them."""
+    return F.from_json(_json_body(text), "array<variant>")
+
+
+def _is_object(item: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+
+
 def parse_json_texts(documents: DataFrame) -> DataFrame:
-    """Records of JSON documents (columns ``file_path`` and ``value``)."""
+    """Records of JSON documents (columns ``file_path`` and ``value``).
+
+    An empty object is a record without fields. Items that are no objects give
+    no record; ``fatal_file_errors`` reports their file. All fields of a record
+    are read in its own row.
+    """
     texts = documents.select("file_path", stripped(F.col("value")).alias("_text"))
     records = texts.where(F.try_parse_json("_text").isNotNull()).select(
-        "file_path", F.posexplode(F.from_json(_json_body(F.col("_text")), "array<variant>")).alias("_i", "_rec")
-    )
-    # One row per field, then one row per record: the regrouping also spreads
-    # the records of one large file over all tasks.
-    fields = records.select(
-        "file_path", "_i", F.posexplode(F.try_variant_get("_rec", "$", "map<string,variant>")).alias("_at", "_key", "_item")
-    ).select(
-        "file_path", "_i", "_at",
-        standard_name(F.col("_key")).alias("_name"),
-        F.try_variant_get("_item", "$", "string").alias("_text"),
-        F.schema_of_variant("_item").rlike("BIGINT|DOUBLE|DECIMAL|FLOAT").alias("_number"),
-    ).withColumn("_text", _clean(F.col("_name"), F.col("_text")))
-    known = F.col("_name").isin(KNOWN_FIELDS)
-    cells = [
-        F.max_by("_text", F.when(F.col("_name") == f, F.col("_at"))).alias(f) for f in KNOWN_FIELDS
-    ]
-    return (
-        fields.groupBy("file_path", "_i")
-        .agg(
-            *cells,
-            F.array_sort(F.collect_set(F.when(known, F.col("_name")))).alias("present"),
-            F.collect_set(F.when(known & F.col("_number"), F.col("_name"))).alias("number_fields"),
-            F.collect_list(F.when(~known, F.struct("_name", "_text"))).alias("_rest"),
-        )
-        .select(
-            "file_path", (F.col("_i") + 1).cast("bigint").alias("_row_number"), *KNOWN_FIELDS,
-            "present", "number_fields", F.map_from_entries("_rest").alias("metadata"),
+        "file_path", F.posexplode(_json_items(F.col("_text"))).alias("_i", "_rec")
+    ).where(_is_object(F.col("_rec")))
+
+    def entry(e: Column) -> Column:
+        name = standard_name(e["key"])
+        return F.struct(
+            name.alias("name"),
+            _clean(name, F.try_variant_get(e["value"], "$", "string")).alias("text"),
+            F.schema_of_variant(e["value"]).rlike("BIGINT|DOUBLE|DECIMAL|FLOAT").alias("number"),
         )
+
+    # One large file is one task up to here; its records are spread afterwards.
+    fields = spread(records).select(
+        "file_path", "_i", F.transform(F.map_entries(F.try_variant_get("_rec", "$", "map<string,variant>")), entry).alias("_fields"))
+    known = lambda e: e["name"].isin(KNOWN_FIELDS)
+    # If two names mean one field, the last one wins.
+    last = lambda f: F.try_element_at(F.filter("_fields", lambda e: e["name"] == f), F.lit(-1))["text"].alias(f)
+    rest = F.filter("_fields", lambda e: ~known(e))
+    return fields.select(
+        "file_path", (F.col("_i") + 1).cast("bigint").alias("_row_number"), *[last(f) for f in KNOWN_FIELDS],
+        F.array_sort(F.array_distinct(F.transform(F.filter("_fields", known), lambda e: e["name"]))).alias("present"),
+        F.array_distinct(F.transform(F.filter("_fields", lambda e: known(e) & e["number"]), lambda e: e["name"])).alias("number_fields"),
+        F.map_from_entries(F.transform(rest, lambda e: F.struct(e["name"], e["text"]))).alias("metadata"),
     )
 
 
@@ -245,21 +255,30 @@ def _has_files(spark: SparkSession, folder: str, glob: str) -> bool:
     return bool(_matching(spark, f"{folder}/{glob}"))
 
 
+def json_errors(documents: DataFrame) -> DataFrame:
+    """(file_path, error) of every JSON document; NULL where its records can be read."""
+    text = stripped(F.col("value"))
+    return documents.select(
+        "file_path",
+        F.when(text == "", "empty_file")
+        .when(F.try_parse_json("value").isNull(), "invalid_json")
+        .when(F.exists(_json_items(text), lambda v: ~_is_object(v)), "record_is_no_object")
+        .alias("error"),
+    )
+
+
 def fatal_file_errors(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
     """Files that cannot be used at all, with the reason.
 
-    ``empty_file``, ``invalid_json``, ``no_records`` or ``no_data_rows``.
+    ``empty_file``, ``invalid_json``, ``record_is_no_object``, ``no_records`` or
+    ``no_data_rows``.
     """
     names = _matching(spark, f"{folder}/{DELIMITED_GLOB}") + _matching(spark, f"{folder}/{JSON_GLOB}")
     files = spark.createDataFrame([(n,) for n in names], "file_path string").withColumn(
         "_json", F.col("file_path").rlike(r"(?i)\.json$"))
-    whole = spark.read.text(f"{folder}/{JSON_GLOB}", wholetext=True).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.when(stripped(F.col("value")) == "", "empty_file")
-        .when(F.try_parse_json("value").isNull(), "invalid_json")
-        .alias("_reason"),
-        F.lit(True).alias("_seen"),
-    ) if _has_files(spark, folder, JSON_GLOB) else None
+    whole = json_errors(
+        spark.read.text(f"{folder}/{JSON_GLOB}", wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    ).select("file_path", F.col("error").alias("_reason"), F.lit(True).alias("_seen")) if _has_files(spark, folder, JSON_GLOB) else None
     firsts = numbered_lines(spark, f"{folder}/{DELIMITED_GLOB}").where("line_number = 1").select(
         "file_path", F.when(stripped(F.col("line")) == "", "empty_file").alias("_first")
     ) if _has_files(spark, folder, DELIMITED_GLOB) else None

@@ -53,8 +53,10 @@ def test_components(spark):
 
 
 def test_page_options():
-    o = N.page_options(max_nodes=33, min_shared=0, pearson=3.0)
-    assert (o.max_nodes, o.min_shared, o.pearson_threshold) == (20, 1, 1.0)
+    o = N.page_options(max_nodes=30, min_shared=0, pearson=3.0)
+    assert (o.max_nodes, o.min_shared, o.pearson_threshold) == (30, 1, 1.0)
+    with pytest.raises(ValueError, match="max_nodes"):
+        N.page_options(max_nodes=33)
     assert N.page_options(preset="sparse").jaccard_threshold == 0.20
 
 
@@ -113,3 +115,12 @@ def test_interval_join_counts_each_pair_once(spark):
     feats = spark.createDataFrame([(1, 1, 200), (1, 64, 64), (1, 0, 5), (1, 10, 3)], "wt_id int, start_position int, end_position int")
     got = sorted((r["position"], r["start_position"]) for r in D.interval_join(points, feats, ["wt_id"]).collect())
     assert got == sorted([(p, 1) for p in (1, 63, 64, 65, 128, 200)] + [(64, 64)])
+
+
+def test_matrices_have_a_column_for_every_generation(spark):
+    frequency = spark.createDataFrame([(1, 9, 5, 2), (1, 0, 5, 1)], "experiment_id long, generation_number int, position int, mutations long")
+    generations = spark.createDataFrame([(10, 0), (11, 1)], "generation_id long, generation_number int")
+    wide = D.frequency_matrix(frequency, generations)
+    assert wide.columns[2:] == ["g0", "g1", "g9"] and wide.first()[2:] == (1, 0, 2)
+    rich = spark.createDataFrame([("a", 10, 1.0), ("a", 11, 3.0)], "domain_label string, generation_id long, nonsyn_count double")
+    assert D.enrichment_matrix(rich, generations, "nonsyn_count").first()[1:] == (1.0, 3.0, 4.0)

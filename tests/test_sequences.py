@@ -169,6 +169,36 @@ def test_run_processes_pending_variants_and_remaps(spark):
     assert P.analyse_sequences(variants, mapping, force=True).count() == 3
 
 
+def test_stored_run_leaves_nothing_to_do(spark):
+    from evospark.schemas import struct_of
+
+    rng = random.Random(9)
+    gene = random_gene(rng, 60)
+    protein = "".join(D.CODE[gene[i:i + 3]] for i in range(0, len(gene), 3))
+    back = "".join(rng.choice("ACGT") for _ in range(60))
+    changed = gene[:30] + ("GCT" if gene[30:33] != "GCT" else "GAT") + gene[33:]
+    rows = [(1, 1, 5, back + changed + "TAA", None), (1, 2, 5, back + gene + "TAA", "done"), (1, 3, 5, "ACGT" * 5, None)]
+    variants = spark.createDataFrame(rows, "experiment_id long, variant_id long, generation_id long, assembled_dna_sequence string, protein_sequence string")
+    mapping = spark.createDataFrame(
+        [(1, "PLUS", 0, 60, 60 + len(gene), gene, protein)],
+        "experiment_id long, strand string, frame int, cds_start int, cds_end int, wt_cds string, wt_protein string")
+    empty = {t: spark.createDataFrame([], struct_of(t)) for t in ("mutations", "metrics", "variant_sequence_analysis")}
+    stale = spark.createDataFrame([(1, 1, "protein", 3, "A", "C", False, None), (2, 2, "protein", 4, "A", "C", False, None)], struct_of("mutations"))
+    experiments = spark.createDataFrame([(1, "NEW"), (2, "NEW")], "experiment_id long, status string")
+    definitions = spark.createDataFrame([(9, "mutation_total_count", "derived", "count")], struct_of("metric_definitions"))
+    out = P.store_sequence_run(
+        P.analyse_sequences(variants, mapping), variants, stale, empty["metrics"], empty["variant_sequence_analysis"], experiments, definitions)
+    proteins = {r["variant_id"]: r["protein_sequence"] for r in out["variants"].collect()}
+    assert proteins[1] != protein and len(proteins[1]) == len(protein) and proteins[2] == "done"
+    assert sorted((r["variant_id"], r["position"]) for r in out["mutations"].collect()) == [(1, 11), (2, 4)]
+    totals = {r["variant_id"]: (r["value"], r["generation_id"], r["metric_definition_id"])
+              for r in out["metrics"].where("metric_name = 'mutation_total_count'").collect()}
+    assert totals[1] == (1.0, 5, 9)
+    assert {r["experiment_id"]: r["status"] for r in out["experiments"].collect()}[2] == "NEW"
+    again = P.analyse_sequences(out["variants"], mapping, analyses=out["analyses"])
+    assert again.isEmpty()
+
+
 def test_fasta_rules(spark):
     texts = [">plasmid\nACGTRYSWKMBDHVN\n", ">p\nAUGCAU", ">p\nACGTZ", "", "ACGT", ">a\nAC\n>b\nGT", ">only\n", ">x\n ac\tgt\nAC gt\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")

@@ -130,3 +130,28 @@ def test_line_numbers_across_splits(spark, tmp_path):
         assert df.count() == 2998
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_numbers_empty_records_and_other_items(spark, tmp_path):
+    from evospark.operators import qc
+    from evospark.schemas import struct_of
+    from evospark.sources import snapshots
+
+    good = {"id": 3.7, "gen": 1, "sequence": "acgt " * 60, "dna_yield": 500.5, "protein_yield": 40, "control": 0, "note": 1}
+    control = {**good, "id": 4, "control": 2}
+    (tmp_path / "good.json").write_text(json.dumps([good, control]))
+    (tmp_path / "empty.json").write_text(json.dumps([good, {}]))
+    (tmp_path / "other.json").write_text(json.dumps({"records": [good, 5]}))
+    records = uploads.read_uploads(spark, str(tmp_path))
+    rows = {(r["file_path"].rsplit("/", 1)[1], r["_row_number"]): r for r in records.collect()}
+    assert set(rows) == {("good.json", 1), ("good.json", 2), ("empty.json", 1), ("empty.json", 2), ("other.json", 1)}
+    assert rows["empty.json", 2]["present"] == [] and rows["good.json", 1]["metadata"] == {"note": "1"}
+    fatal = uploads.fatal_file_errors(spark, str(tmp_path), records)
+    assert [(r["file_path"].rsplit("/", 1)[1], r["error"]) for r in fatal.collect()] == [("other.json", "record_is_no_object")]
+    accepted, rejected = qc.upload_gate(qc.check_records(records), qc.cross_record_findings(records), fatal)
+    assert {r["file_path"].rsplit("/", 1)[1] for r in accepted.collect()} == {"good.json"} and rejected.count() == 3
+    out = snapshots.upsert_uploads(
+        accepted.withColumn("experiment_id", F.lit(1).cast("long")), *(spark.createDataFrame([], struct_of(t)) for t in ("variants", "metrics")))
+    assert [r["plasmid_variant_index"] for r in out["variants"].collect()] == ["3"]
+    assert out["controls"].count() == 1 and [r["generation_number"] for r in out["generations"].collect()] == [1]
+    assert out["metrics"].where("wt_control_id is not null").count() == 2
