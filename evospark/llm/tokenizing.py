@@ -8,7 +8,10 @@ import re
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+SPACE = "\u0120"
+"""How byte-level vocabularies write a space."""
+
 _UNSURE = re.compile(r"\s\s")
 
 
@@ -35,15 +38,27 @@ class WordCachedEncoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must fit 16 bits")
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids whose bytes begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.first: dict[str, bytes] = {}  # at the start of a text
         self.later: dict[str, bytes] = {}  # after a space
 
-    def _learn(self, words: set[str], known: dict[str, bytes], space: str) -> None:
-        if len(known) + len(words) > CACHED_WORDS:
-            known.clear()
-        fresh = list(words - known.keys())
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast([space + w for w in fresh], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype="<u2").tobytes()
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
+
+    def _learn(self, starts: set[str], rest: set[str]) -> None:
+        for known, words in ((self.first, starts), (self.later, rest)):
+            if len(known) + len(words) > CACHED_WORDS:
+                known.clear()
+        for word in starts - self.first.keys():
+            self.first[word] = self._plain(word).tobytes()
+        fresh = list(rest - self.later.keys())
+        if fresh:  # one text of all new words; only a word's first id begins with a space
+            ids = self._plain(" " + " ".join(fresh))
+            at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 2
+            data, cuts = ids.tobytes(), at.tolist()
+            self.later.update(zip(fresh, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -57,15 +72,14 @@ class WordCachedEncoder:
             split.append(words)
             starts.add(words[0])
             rest.update(words[1:])
-        self._learn(starts, self.first, "")
-        self._learn(rest, self.later, " ")
+        self._learn(starts, rest)
         later = self.later.__getitem__
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is not None:
                 out.append(self.first[words[0]] + b"".join(map(later, words[1:])))
             elif text:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes())
+                out.append(self._plain(text).tobytes())
             else:
                 out.append(b"")
         return out
