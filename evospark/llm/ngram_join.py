@@ -18,7 +18,9 @@ is then equal on both sides.
 * The other sets are allocated anew with one segment per element. What a pair
   can share is then bounded by its shared rare elements plus the smaller number
   of frequent ones, so only sets that consist of frequent elements for the most
-  part meet through those, and only by their rarest ones (prefix filter).
+  part meet through those, and only by their rarest ones (prefix filter with
+  positions). Parity bits of the sets, which differ in no more places than the
+  sets differ in elements, rule out most of what is left.
 * A linked pair whose sets have spare signatures shares more than one of them,
   so the number of shared signatures rules out most chance pairs.
 * Candidates are first compared along a few pairs per set (the partner with most
@@ -201,6 +203,25 @@ def _elements(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(spread, "sig long, set long, spare int")
 
 
+PARITY_WORDS = 8
+"""64-bit words of a set's parity bits."""
+
+
+def _parities(docs: DataFrame, n: int) -> DataFrame:
+    """(doc, bits): for each of the bits, whether an odd number of elements falls on it."""
+
+    def fold(batches):
+        for batch in batches:
+            bits = []
+            for elements in _sets(batch, n):
+                odd = np.bincount((mix(elements ^ np.uint64(0x2545F491)) >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS),
+                                  minlength=64 * PARITY_WORDS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], names=["doc", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(fold, "doc long, bits array<long>")
+
+
 def _batch(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
 
@@ -338,7 +359,9 @@ def ngram_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     frequency = common.groupBy("sig").agg(F.count("*").alias("frequency"))
     ranked = common.join(load.where(F.col("load") >= needed), "doc").join(frequency, "sig").withColumn(
         "rank", F.row_number().over(Window.partitionBy("doc").orderBy("frequency", "sig")))
-    active = stored(ranked.where(F.col("rank") <= F.col("load") - needed + 1).select("sig", "doc", "size", "load"), "active")
+    heavy = ranked.where(F.col("rank") <= F.col("load") - needed + 1).select("sig", "doc", "size", "load", "rank")
+    parities = _parities(texts.join(load.where(F.col("load") >= needed).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), n)
+    active = stored(heavy.join(parities.groupBy("doc").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits")), "doc"), "active")
     centre = active.groupBy("sig").agg(F.min(F.struct("doc", "size")).alias("c"))
     stars = active.join(centre, "sig").withColumn("o_size", F.col("c.size")).where("doc <> c.doc").where(alike()).select(
         F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
@@ -351,15 +374,20 @@ def ngram_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     rooted = stored(active.join(root, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc")).drop("node"), "rooted")
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     rooted = rooted.join(mixed, "sig", "left_semi")
-    others = rooted.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "size", "load", "root")))
-    enough = (100 + percent) * F.least("load", "o_load") >= percent * (F.col("size") + F.col("o_size"))
-    crossing = rooted.join(others, "sig").where("doc < o_doc and root <> o_root").where(alike() & enough).select(
+    others = rooted.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "size", "load", "root", "rank", "bits")))
+    # All that two sets share of their frequent elements comes from the first shared one on.
+    left = 1 + F.least(F.col("load") - F.col("rank"), F.col("o_load") - F.col("o_rank"))
+    enough = (100 + percent) * left >= percent * (F.col("size") + F.col("o_size"))
+    apart_bits = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("o_bits")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    near = (100 + percent) * apart_bits <= (100 - percent) * (F.col("size") + F.col("o_size"))
+    crossing = rooted.join(others, "sig").where("doc < o_doc and root <> o_root").where(alike() & enough & F.coalesce(near, F.lit(True))).select(
         F.col("doc").alias("a"), F.col("o_doc").alias("b"))
     ends = [root.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"]
     apart = pairs.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     rest = stored(crossing.unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"), "rest")
-    links = stored(links.unionByName(_verified(rest, texts, n, percent)), "links")
+    # The components so far are links to their roots.
+    links = stored(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, texts, n, percent)), "links")
 
     root = components(links).withColumnRenamed("node", "rep")
     # A repeated doc_id joins the sets of its rows.
