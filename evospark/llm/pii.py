@@ -122,9 +122,9 @@ def disclosing_terms(spotted: DataFrame, text: str, spans: str, support: int = S
     joint = (around.join(pairs, ["entity", "term"]).select("entity", "term", "key").distinct()
              .join(copies, "key").groupBy("entity", "term").agg(F.sum("copies").alias("together")))
     holders = found.select("entity", "key").distinct().join(copies, "key").groupBy("entity").agg(F.sum("copies").alias("holders"))
-    # Document frequency of the candidate terms over the whole corpus.
+    # Document frequency over the whole corpus, counted before the candidates are picked out.
     words = spotted.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
+    frequency = words.groupBy("term").agg(F.count("*").alias("documents"))
     total = copies.agg(F.sum("copies").alias("total"))  # one row
     rated = joint.join(holders, "entity").join(frequency, "term").crossJoin(total)
     share = F.ln(F.col("together") / F.col("documents") * F.col("total") / F.col("holders")) / F.greatest(
