@@ -11,6 +11,7 @@ from evospark.functions.coerce import float_or_null, not_nan, record_bool, recor
 from evospark.functions.keys import control_key, generation_key
 from evospark.functions.quantiles import exact_percentiles
 
+# Metric names and types.
 DNA_NAMES = ["dna_yield_raw", "dna_yield"]
 PROTEIN_NAMES = ["protein_yield_raw", "protein_yield"]
 ACTIVITY = ("activity_score", "derived")

@@ -65,7 +65,7 @@ def _substitutions(wt: Column, var: Column) -> Column:
         )
         return _record(
             kind, p["i"] + 1, p["w"], p["v"], F.when(~unclear, wt_aa), F.when(~unclear, var_aa),
-            F.when(unclear, "Ambiguous base(s) in variant codon."),
+            F.when(unclear, "ambiguous_codon"),
         )
 
     return F.transform(pairs, classified)
@@ -124,12 +124,12 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
     inserted = F.transform(
         _indices(ins_at, ins_at + k - 1),
         lambda i: _record("INSERTION", i + 1, None, F.get(v, i), None, D.residue(F.get(v, i)),
-                          "Compensating in-frame insertion inferred from codon realignment."),
+                          "moved_codon:insertion"),
     )
     deleted = F.transform(
         _indices(del_at, del_at + k - 1),
         lambda i: _record("DELETION", i + 1, F.get(w, i), None, D.residue(F.get(w, i)), None,
-                          "Compensating in-frame deletion inferred from codon realignment."),
+                          "moved_codon:deletion"),
     )
 
     # Unequal lengths: trim the common start and the common end of the proteins.
@@ -157,7 +157,7 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
     def paired(i: Column, shift: Column) -> Column:
         wc, vc, wa, va = F.get(w, i), F.get(v, i + shift), F.get(F.col("_wa"), i), F.get(F.col("_va"), i + shift)
         kind = F.when(wa == va, "SYNONYMOUS").when(va == "*", "NONSENSE").otherwise("NONSYNONYMOUS")
-        note = F.when(wa == va, "Synonymous codon swap retained through alignment.")
+        note = F.when(wa == va, "aligned:synonymous")
         return F.when(wc != vc, _record(kind, i + 1, wc, vc, wa, va, note))
 
     zero = F.lit(0)
@@ -166,17 +166,17 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
     gained = F.transform(
         _indices(pair_end + 1, F.size("_v") - tail - 1),
         lambda i: _record("INSERTION", i + 1, None, F.get(v, i), None, F.get(F.col("_va"), i),
-                          "In-frame insertion (protein alignment)."),
+                          "aligned:insertion"),
     )
     lost = F.transform(
         _indices(pair_end + 1, F.size("_w") - tail - 1),
         lambda i: _record("DELETION", i + 1, F.get(w, i), None, F.get(F.col("_wa"), i), None,
-                          "In-frame deletion (protein alignment)."),
+                          "aligned:deletion"),
     )
     after = F.transform(_indices(F.size("_w") - tail, F.size("_w") - 1), lambda i: paired(i, grow))
     aligned = F.array_compact(F.concat(before, middle, F.when(grow > 0, gained).otherwise(lost), after))
     frameshift = F.array(
-        _record("FRAMESHIFT", F.lit(None), None, None, None, None, "CDS not divisible by 3; frameshift detected.")
+        _record("FRAMESHIFT", F.lit(None), None, None, None, None, "length_not_in_frame")
     )
     missing = F.coalesce(F.col("_var"), F.lit("")) == ""
     calls = (
@@ -222,11 +222,9 @@ def guard_profiles(called: DataFrame, limits: SanityLimits = SanityLimits()) ->
         )
         | (total > most)
     )
+    # Fixed value: the words before the colon.
     note = F.format_string(
-        "Mutation sanity guard: implausible mutation profile detected (protein_len=%d, total_mutations=%d, "
-        "wt_len=%d, outlier_threshold=%d). Marked as failed to avoid contaminating mutation-level summaries.",
-        size, total, wt, most,
-    )
+        "Mutation sanity guard: profile dropped (mutations=%d, residues=%d, wild_type=%d, outlier_threshold=%d)", total, size, wt, most)
     df = called.withColumn("guarded", F.coalesce(bad, F.lit(False)))
     hit = F.col("guarded")
     return (

@@ -104,10 +104,10 @@ def validate_plasmids(rows: DataFrame, protein: str = "wt_protein", plasmid: str
         F.when(ok, F.pmod(first, n)).alias("start_nt"),
         F.when(ok, F.pmod(last - 1, n)).alias("end_nt"),
         F.coalesce(ok & (first < n) & (last > n), F.lit(False)).alias("wraps"),
-        F.when(F.col("_p") == "", "WT protein sequence missing.")
-        .when(F.col("_d") == "", "Plasmid DNA sequence missing.")
-        .when(ok, "PASS: WT protein is exactly encoded in the uploaded plasmid.")
-        .otherwise("FAIL. No exact WT protein encoding found across six translated frames.")
+        F.when(F.col("_p") == "", "missing:protein")
+        .when(F.col("_d") == "", "missing:plasmid")
+        .when(ok, "encoded")
+        .otherwise("not_encoded")
         .alias("message"),
     )
 
@@ -271,10 +271,10 @@ def extract_cds(variants: DataFrame, stop_policy: str = "truncate") -> DataFrame
     filled = F.coalesce(F.col("protein_aa"), F.lit("")) != ""
     if stop_policy == "truncate":
         early = filled & (F.length("protein_aa") < F.length("wt_protein"))
-        note = "Protein truncated due to in-frame stop codon."
+        note = "stop:truncated"
     else:
         early = filled & F.col("protein_aa").contains("*")
-        note = "Stop codon(s) present in translated protein."
+        note = "stop:kept"
     temp = ["_d", "_wt", "_n", "_len", "_dd", "_genomic", "_start", "_coding", "_stop", "_size"]
     df = evaluated_once(
         df.withColumn("found_by_anchor", anchored).drop(*temp),

@@ -200,8 +200,8 @@ with t as (select doc_id, array_to_string(list_filter(string_split(text, chr(10)
                   len(list_filter(string_split(text, chr(10)), lambda l: starts_with(ltrim(l, ' ' || chr(9)), '>'))) as extra from {documents}),
 s as (select doc_id, extra, replace(upper(regexp_replace(replace(body, 'ß', 'SS'), '\\s+', '', 'g')), 'U', 'T') as seq from t),
 b as (select *, array_to_string(list_sort(list_distinct(string_split(regexp_replace(seq, '[ACGTNRYWSKMBDHV]', '', 'g'), ''))), '') as bad_characters from s)
-select doc_id, bad_characters, case when extra > 0 then 'Please upload a single-record FASTA.' when seq = '' then 'FASTA sequence is empty.'
-       when bad_characters <> '' then concat('Invalid characters in sequence: ', bad_characters) end as error from b""")
+select doc_id, bad_characters, case when extra > 0 then 'several_records' when seq = '' then 'empty_sequence'
+       when bad_characters <> '' then concat('invalid_characters:', bad_characters) end as error from b""")
 def fasta_scan(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit(">doc\n"), "text").alias("value"))

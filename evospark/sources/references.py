@@ -23,11 +23,11 @@ def parse_fasta(rows: DataFrame, text: str = "value") -> DataFrame:
     odd = F.regexp_replace("seq", f"[{IUPAC_DNA}]+", "")
     df = df.withColumn("bad_characters", F.array_join(F.array_sort(F.array_distinct(F.split(odd, ""))), ""))
     error = (
-        F.when(F.col("_t") == "", "Empty file.")
-        .when(~F.col("_t").startswith(">"), "FASTA must start with a header line beginning with '>'.")
-        .when(F.col("_headers") > 1, "Please upload a single-record FASTA.")
-        .when(F.col("seq") == "", "FASTA sequence is empty.")
-        .when(F.col("bad_characters") != "", F.concat(F.lit("Invalid characters in sequence: "), "bad_characters"))
+        F.when(F.col("_t") == "", "empty_file")
+        .when(~F.col("_t").startswith(">"), "no_header")
+        .when(F.col("_headers") > 1, "several_records")
+        .when(F.col("seq") == "", "empty_sequence")
+        .when(F.col("bad_characters") != "", F.concat(F.lit("invalid_characters:"), "bad_characters"))
     )
     return (
         df.withColumn("error", error)
