@@ -21,7 +21,8 @@ HEADLINE = [
     "top10_with_totals", "enriched_top10", "performance_rankings", "domain_enrichment", "mutation_frequency",
     "cooccurrence_edges", "lineage_closure", "cumulative_trajectory", "nearest_index_edges", "delimited_scan",
     "record_quality", "cross_record_findings", "upsert_variants", "merge_latest", "variant_cds", "mutation_calls",
-    "sequence_run", "idw_surface",
+    "sequence_run", "idw_surface", "json_scan", "typed_cells", "json_number_variants", "pca_points", "sequence_network_nodes",
+    "introduction_events",
 ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evospark.functions.ordering import top_k
@@ -60,6 +60,25 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     )
 
 
+def interval_sums(points: DataFrame, intervals: DataFrame, groups: Sequence[str], keys: Sequence[str],
+                  values: Sequence[str]) -> DataFrame:
+    """Sums of ``values`` over the points (column ``position``) inside every
+    interval, per group of points.
+
+    Running sums over a group's positions are read at both ends of the interval,
+    so the work doesn't depend on its length.
+    """
+    at_end = F.struct(F.col("end_position").alias("position"), F.lit(1).alias("_sign"))
+    before = F.struct((F.col("start_position") - 1).alias("position"), F.lit(-1).alias("_sign"))
+    names = [c for c in intervals.columns if c not in keys]
+    ends = points.select(*groups, *keys).distinct().join(intervals, list(keys)).withColumn(
+        "_end", F.explode(F.array(at_end, before))).select("*", "_end.*").drop("_end")
+    rows = points.select(*groups, *keys, "position", *values).unionByName(ends, allowMissingColumns=True)
+    so_far = Window.partitionBy(*groups, *keys).orderBy("position").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumns({v: F.coalesce(F.sum(v).over(so_far), F.lit(0)) for v in values}).where("_sign is not null")
+    return running.groupBy(*groups, *keys, *names).agg(*[F.sum(F.col("_sign") * F.col(v)).alias(v) for v in values])
+
+
 def domain_enrichment(
     variants: DataFrame, mutations: DataFrame, experiments: DataFrame, features: DataFrame,
     types: Sequence[str] | None = None,
@@ -76,15 +95,14 @@ def domain_enrichment(
         "wt_id", "feature_type", "start_position", "end_position",
         F.coalesce("description", "feature_type").alias("domain_label"),
     )
-    hits = interval_join(counts, named, ["wt_id"])
     length = F.col("end_position") - F.col("start_position") + 1
+    feature = ["feature_type", "domain_label", "start_position", "end_position"]
     return (
-        hits.groupBy("generation_id", "wt_id", "feature_type", "domain_label", "start_position", "end_position")
-        .agg(
-            F.sum("nonsyn").alias("nonsyn_count"),
-            F.sum("syn").alias("syn_count"),
-            F.sum("hits").alias("total_protein_mutations"),
-        )
+        interval_sums(counts, named.where("start_position > 0 and end_position >= start_position"),
+                      ["generation_id"], ["wt_id"], ["nonsyn", "syn", "hits"])
+        .where("hits > 0")
+        .select("generation_id", "wt_id", *feature, F.col("nonsyn").alias("nonsyn_count"), F.col("syn").alias("syn_count"),
+                F.col("hits").alias("total_protein_mutations"))
         .withColumn("domain_length", length)
         .withColumn("nonsyn_per_residue", F.try_divide("nonsyn_count", F.nullif("domain_length", F.lit(0))))
     )
