@@ -182,37 +182,40 @@ def _unit_rows(doc_id: int, found: Paragraphs, which: np.ndarray | slice = slice
     return [fp, np.full(len(fp), doc_id), np.arange(len(found.fp))[which], found.words[which], found.start[which], found.end[which]]
 
 
-def _near(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified pairs with the places of both paragraphs: a_* and b_* of ``UNIT``."""
-    names = [f"{s}_{c}" for s in "ab" for c in UNIT]
+def _picked(docs: DataFrame, n: int) -> DataFrame:
+    """``UNIT`` rows with their set of shingles, of the paragraphs whose fingerprints ``docs`` names in ``fps``."""
+    schema = ", ".join(f"{c} long" for c in UNIT) + ", shingles array<long>"
 
-    def check(batches):
-        last, kept = None, None
+    def pick(batches):
         for batch in batches:
-            out = []
-            cols = [c.to_pylist() for c in batch.columns]
-            for fp_a, doc_a, fp_b, doc_b, text_a, text_b in zip(*cols, strict=True):
-                if last != (doc_a, text_a):
-                    last, kept = (doc_a, text_a), paragraphs(text_a, n)
-                sides = []
-                for fp, doc, found in ((fp_a, doc_a, kept), (fp_b, doc_b, paragraphs(text_b, n))):
-                    at = np.flatnonzero(found.fp.view(np.int64) == fp) if found is not None else []
-                    if len(at):
-                        i = int(at[0])
-                        stop = found.first[i + 1] if i + 1 < len(found.first) else len(found.shingles)
-                        sides.append((np.unique(found.shingles[found.first[i]:stop]), _unit_rows(doc, found, np.array([i]))))
-                if len(sides) == 2:
-                    (x, row_a), (y, row_b) = sides
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        out.append([*row_a, *row_b])
-            if out:
-                yield _batch(out, names)
-
-    left = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "doc_b").join(left, "doc_a").select("fp_a", "doc_a", "fp_b", "doc_b", "text_a", "text_b").mapInArrow(
-        check, ", ".join(f"{c} long" for c in names))
+            rows, sets = [], []
+            for doc_id, text, fps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = paragraphs(text, n)
+                if found is None:
+                    continue
+                fp = found.fp.view(np.int64)
+                _, once = np.unique(fp, return_index=True)  # a paragraph repeated in a text gives one row
+                at = once[np.isin(fp[once], fps)]
+                stops = np.append(found.first[1:], len(found.shingles))
+                sets += [np.unique(found.shingles[found.first[i]:stops[i]]).view(np.int64) for i in at]
+                rows.append(_unit_rows(doc_id, found, at))
+            if sets:
+                yield pa.RecordBatch.from_arrays([*_batch(rows, UNIT).columns, pa.array(sets, pa.list_(pa.int64()))], names=[*UNIT, "shingles"])
+
+    return docs.select("doc_id", "text", "fps").mapInArrow(pick, schema)
+
+
+def _near(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Verified pairs with the places of both paragraphs: a_* and b_* of ``UNIT``."""
+    wanted = pairs.select(F.col("doc_a").alias("doc_id"), F.col("fp_a").alias("fp")).union(pairs.select("doc_b", "fp_b"))
+    named = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))  # paragraphs of one document
+    picked = stored(_picked(rows.join(named.hint("shuffle_hash"), "doc_id"), n).dropDuplicates(["doc_id", "fp"]), "picked")
+    sides = [picked.select(*(F.col(c).alias(f"{s}_{c}") for c in UNIT), F.col("shingles").alias(f"{s}_set")) for s in "ab"]
+    both = pairs.join(sides[0], (F.col("doc_a") == F.col("a_doc_id")) & (F.col("fp_a") == F.col("a_fp"))).join(
+        sides[1], (F.col("doc_b") == F.col("b_doc_id")) & (F.col("fp_b") == F.col("b_fp")))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select(
+        *(f"{s}_{c}" for s in "ab" for c in UNIT))
 
 
 def _repeated(docs: DataFrame, n: int) -> DataFrame:
@@ -255,9 +258,7 @@ def repeated_passages(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, r
     """
     rows = _rows(docs)
     pairs = stored(_collisions(_banded(rows, n, tuned_bands(percent, recall))), "collisions")
-    wanted = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-    texts = stored(rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    near = stored(_near(pairs, texts, n, percent), "near")
+    near = stored(_near(pairs, rows, n, percent), "near")
     root = components(near.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
     sides = [near.select(*(F.col(f"{s}_{c}").alias(c) for c in UNIT)) for s in "ab"]
     units = stored(_repeated(rows, n), "repeated")
