@@ -1,10 +1,10 @@
-"""Repeated passages by paragraph MinHash banding.
+"""Repeated passages by paragraph.
 
 A paragraph here is a line, cut further at content-defined places (a word pair
 whose hash is the least among its neighbours), so that a passage is found
-wherever it stands inside a line. Bands over the paragraph's 5-word shingles are
-tuned for the wanted recall at the similarity; paragraphs that collide in a band
-are compared exactly on their whole sets, and linked ones form components.
+wherever it stands inside a line. Distinct paragraphs are sets of 5-word shingles
+for the exact join of ``ngram_join``: every pair at the similarity is linked or
+already in one component, so none depends on the luck of a MinHash band.
 Paragraphs of a component that spans documents are repeats: all but the first
 are removed, where repeats stand in a row of at least ``RUN_WORDS`` words.
 """
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evospark.llm.common import components, mix, stored, word_hashes
+from evospark.llm.common import mix, stored, word_hashes
+from evospark.llm.ngram_join import ngram_components
 
 NGRAM = 5
 PERCENT = 75
@@ -78,18 +79,6 @@ def paragraphs(text: str | None, n: int = NGRAM) -> Paragraphs | None:
     return Paragraphs(shingles, at, fp, words, start[first], end[first + words - 1])
 
 
-def band_keys(found: Paragraphs, bands: int, rows: int = ROWS) -> np.ndarray:
-    """One key per band (row) and paragraph (column)."""
-    keys = np.empty((bands, len(found.first)), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(found.first), b, dtype=np.uint64)
-        for r in range(rows):
-            seed = mix(np.array([b * rows + r + 1], dtype=np.uint64))[0]
-            key = mix(key ^ np.minimum.reduceat(mix(found.shingles ^ seed), found.first))
-        keys[b] = key
-    return keys
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
@@ -117,61 +106,34 @@ def _batch(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in zip(*held, strict=True)], names=names)
 
 
-def _banded(docs: DataFrame, n: int, bands: int) -> DataFrame:
-    """(band, fp, doc_id) of the paragraphs; a task passes on each distinct paragraph once."""
+def _distinct(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text): each distinct paragraph once, its fingerprint as id."""
 
-    def sign(batches):
+    def pick(batches):
         seen: set[int] = set()
+        for batch in batches:
+            ids, texts = [], []
+            for text in batch.column(1).to_pylist():
+                found = paragraphs(text, n)
+                if found is None:
+                    continue
+                data = text.encode()
+                for fp, start, end in zip(found.fp.view(np.int64).tolist(), found.start.tolist(), found.end.tolist(), strict=True):
+                    if fp not in seen:
+                        seen.add(fp)
+                        ids.append(fp)
+                        texts.append(data[start:end].decode(errors="replace"))
+            if len(seen) > 1_000_000:  # the same paragraph may then pass twice; the shuffle drops it
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-        def rows():
-            for batch in batches:
-                for doc_id, found in _texts(batch, n):
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    marks = found.fp.view(np.int64).tolist()
-                    new = np.array([m not in seen for m in marks])
-                    seen.update(marks)
-                    if new.any():
-                        keys = band_keys(found, bands)[:, new]
-                        fp = np.tile(found.fp[new].view(np.int64), bands)
-                        yield [keys.ravel().view(np.int64), fp, np.full(len(fp), doc_id)]
-
-        yield from _long_batches(rows(), ["band", "fp", "doc_id"])
-
-    return docs.mapInArrow(sign, "band long, fp long, doc_id long")
-
+    return docs.mapInArrow(pick, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
 
-def _collisions(banded: DataFrame) -> DataFrame:
-    """(fp_a, doc_a, fp_b, doc_b): every paragraph of a band's group with the first and the previous one."""
 
-    def pair(batches):
-        lead = prior = None  # (band, fp, doc): first of the group, previous distinct paragraph
-        for batch in batches:
-            band, fp, doc = (np.asarray(batch.column(i)) for i in range(3))
-            if not len(band):
-                continue
-            if prior is not None:
-                band, fp, doc = (np.concatenate([[p], c]) for p, c in zip(prior, (band, fp, doc), strict=True))
-            new = np.ones(len(band), dtype=bool)
-            new[1:] = band[1:] != band[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
-            head_fp, head_doc = fp[head], doc[head]
-            if prior is not None and lead is not None and lead[0] == band[0]:
-                same = head == 0
-                head_fp, head_doc = np.where(same, lead[1], head_fp), np.where(same, lead[2], head_doc)
-            inside = np.flatnonzero(~new)
-            star = inside[fp[inside] != head_fp[inside]]
-            chain = inside[(fp[inside] != fp[inside - 1]) & (fp[inside - 1] != head_fp[inside])]
-            out = [np.concatenate(c) for c in (
-                [head_fp[star], fp[chain - 1]], [head_doc[star], doc[chain - 1]], [fp[star], fp[chain]], [doc[star], doc[chain]])]
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["fp_a", "doc_a", "fp_b", "doc_b"])
-            lead = (band[-1], head_fp[-1], head_doc[-1])
-            prior = (band[-1], fp[-1], doc[-1])
-
-    rows = banded.repartition("band").sortWithinPartitions("band", "fp").mapInArrow(
-        pair, "fp_a long, doc_a long, fp_b long, doc_b long")
-    return rows.groupBy("fp_a", "fp_b").agg(F.min("doc_a").alias("doc_a"), F.min("doc_b").alias("doc_b"))
+def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(fp, class) of the distinct paragraphs, by the exact join of their sets: every pair at the similarity is in one class."""
+    found = ngram_components(stored(_distinct(docs, n), "distinct"), n, percent)
+    return stored(found.select(F.col("doc_id").alias("fp"), F.col("component_id").alias("class")), "linked")
 
 
 UNIT = ["fp", "doc_id", "place", "words", "start", "stop"]
@@ -182,49 +144,19 @@ def _unit_rows(doc_id: int, found: Paragraphs, which: np.ndarray | slice = slice
     return [fp, np.full(len(fp), doc_id), np.arange(len(found.fp))[which], found.words[which], found.start[which], found.end[which]]
 
 
-def _picked(docs: DataFrame, n: int) -> DataFrame:
-    """``UNIT`` rows with their set of shingles, of the paragraphs whose fingerprints ``docs`` names in ``fps``."""
-    schema = ", ".join(f"{c} long" for c in UNIT) + ", shingles array<long>"
+def _all(docs: DataFrame, n: int) -> DataFrame:
+    """``UNIT`` rows of all paragraphs."""
 
-    def pick(batches):
-        for batch in batches:
-            rows, sets = [], []
-            for doc_id, text, fps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = paragraphs(text, n)
-                if found is None:
-                    continue
-                fp = found.fp.view(np.int64)
-                _, once = np.unique(fp, return_index=True)  # a paragraph repeated in a text gives one row
-                at = once[np.isin(fp[once], fps)]
-                stops = np.append(found.first[1:], len(found.shingles))
-                sets += [np.unique(found.shingles[found.first[i]:stops[i]]).view(np.int64) for i in at]
-                rows.append(_unit_rows(doc_id, found, at))
-            if sets:
-                yield pa.RecordBatch.from_arrays([*_batch(rows, UNIT).columns, pa.array(sets, pa.list_(pa.int64()))], names=[*UNIT, "shingles"])
-
-    return docs.select("doc_id", "text", "fps").mapInArrow(pick, schema)
-
-
-def _near(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified pairs with the places of both paragraphs: a_* and b_* of ``UNIT``."""
-    wanted = pairs.select(F.col("doc_a").alias("doc_id"), F.col("fp_a").alias("fp")).union(pairs.select("doc_b", "fp_b"))
-    named = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))  # paragraphs of one document
-    picked = stored(_picked(rows.join(named.hint("shuffle_hash"), "doc_id"), n).dropDuplicates(["doc_id", "fp"]), "picked")
-    sides = [picked.select(*(F.col(c).alias(f"{s}_{c}") for c in UNIT), F.col("shingles").alias(f"{s}_set")) for s in "ab"]
-    both = pairs.join(sides[0], (F.col("doc_a") == F.col("a_doc_id")) & (F.col("fp_a") == F.col("a_fp"))).join(
-        sides[1], (F.col("doc_b") == F.col("b_doc_id")) & (F.col("fp_b") == F.col("b_fp")))
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select(
-        *(f"{s}_{c}" for s in "ab" for c in UNIT))
+    def units(batches):
+        yield from _long_batches((_unit_rows(d, found) for batch in batches for d, found in _texts(batch, n)), UNIT)
+
+    return docs.mapInArrow(units, ", ".join(f"{c} long" for c in UNIT))
 
 
 def _repeated(docs: DataFrame, n: int) -> DataFrame:
     """``UNIT`` rows of the paragraphs that occur more than once: one pass over partitions sorted by fingerprint."""
     schema = ", ".join(f"{c} long" for c in UNIT)
 
-    def units(batches):
-        yield from _long_batches((_unit_rows(d, found) for batch in batches for d, found in _texts(batch, n)), UNIT)
-
     def runs(batches):
         held, passed = None, False
         for batch in batches:
@@ -242,11 +174,10 @@ def _repeated(docs: DataFrame, n: int) -> DataFrame:
             yield from rows.filter(pa.array(keep)).to_batches()
             held, passed = rows.slice(len(fp) - 1).combine_chunks().to_batches()[0], last
 
-    return docs.mapInArrow(units, schema).repartition("fp").sortWithinPartitions("fp").mapInArrow(runs, schema)
+    return _all(docs, n).repartition("fp").sortWithinPartitions("fp").mapInArrow(runs, schema)
 
 
-def repeated_passages(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, recall: float = RECALL,
-                      run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, run_words: int = RUN_WORDS) -> DataFrame:
     """One row per passage that other documents hold too: doc_id, start, stop (bytes of the UTF-8
     text), n_words, n_paragraphs, n_removed, component_id.
 
@@ -257,14 +188,11 @@ def repeated_passages(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, r
     as one document, so its repeats alone make no passage.
     """
     rows = _rows(docs)
-    pairs = stored(_collisions(_banded(rows, n, tuned_bands(percent, recall))), "collisions")
-    near = stored(_near(pairs, rows, n, percent), "near")
-    root = components(near.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
-    sides = [near.select(*(F.col(f"{s}_{c}").alias(c) for c in UNIT)) for s in "ab"]
-    units = stored(_repeated(rows, n), "repeated")
-    members = units.unionByName(sides[0]).unionByName(sides[1]).distinct()
-    classed = stored(members.join(root, F.col("fp") == F.col("node"), "left").select(
-        *UNIT, F.coalesce("root", "fp").alias("class")), "classed")
+    linked = _linked(rows, n, percent)
+    several = linked.groupBy("class").agg(F.count("*").alias("sets")).where("sets > 1").select("class")
+    near = stored(linked.join(several, "class", "left_semi"), "near")
+    members = _repeated(rows, n).unionByName(_all(rows, n).join(near.hint("shuffle_hash"), "fp", "left_semi")).distinct()
+    classed = stored(stored(members, "members").join(near, "fp", "left").select(*UNIT, F.coalesce("class", "fp").alias("class")), "classed")
     spread = classed.groupBy("class").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("head")).where("lo < hi")
     kept = stored(classed.join(spread, "class").select(

@@ -42,6 +42,39 @@ def test_near_paragraphs_join_a_component(documents, monkeypatch):
     assert {r.doc_id for r in got} == {0, 1} and len({r.component_id for r in got}) == 1
 
 
+def brute_force_classes(sets):
+    """Components of the sets (fp -> set of shingles) by comparing all pairs."""
+    root = {fp: fp for fp in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = sorted(sets)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {fp: find(fp) for fp in sets}
+
+
+def test_near_copies_in_a_crowded_bucket_are_linked(spark):
+    rng = random.Random(12)
+    common = prose(rng, 30, 5000)  # most bands of all these lines collide
+    texts = [f"{tail} {common} {end}" for tail in (prose(rng, 12, 5000) for _ in range(80)) for end in ("left", "right")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = {}
+    for t in texts:
+        found = paragraphs(t)
+        stops = [*found.first[1:].tolist(), len(found.shingles)]
+        for fp, a, b in zip(found.fp.view("int64").tolist(), found.first.tolist(), stops, strict=True):
+            sets[fp] = set(found.shingles[a:b].tolist())
+    assert {r.fp: r["class"] for r in paragraph_dedup._linked(docs, 5, 75).collect()} == brute_force_classes(sets)
+
+
 def test_paragraphs_shift_with_their_passage():
     rng = random.Random(1)
     p = prose(rng, 80, 5000)
