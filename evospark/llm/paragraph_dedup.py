@@ -1,12 +1,13 @@
 """Repeated passages by paragraph.
 
-A paragraph here is a line, cut further at content-defined places (a word pair
-whose hash is the least among its neighbours), so that a passage is found
-wherever it stands inside a line. Distinct paragraphs are sets of 5-word shingles
-for the exact join of ``ngram_join``: every pair at the similarity is linked or
-already in one component, so none depends on the luck of a MinHash band.
-Paragraphs of a component that spans documents are repeats: all but the first
-are removed, where repeats stand in a row of at least ``RUN_WORDS`` words.
+Lines and, inside them, chunks are compared. Distinct lines are sets of 5-word
+shingles for the exact join of ``ngram_join``: every pair at the similarity is
+linked or already in one component, so none depends on the luck of a MinHash
+band. A line of a component that spans documents is a repeat. Other lines are
+cut at content-defined places (a word pair whose hash is the least among its
+neighbours), so that an exact passage is found wherever it stands inside them.
+Of all repeats of a component but the first are removed, where repeats stand in
+a row of at least ``RUN_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def tuned_bands(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS
 
 
 class Paragraphs(NamedTuple):
-    """Paragraphs of one text: first shingle and end in ``shingles``, fingerprint, words, and bytes."""
+    """Paragraphs of one text: first shingle in ``shingles``, fingerprint, words, bytes, place and length in the text's order."""
 
     shingles: np.ndarray
     first: np.ndarray
@@ -45,14 +46,20 @@ class Paragraphs(NamedTuple):
     words: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    place: np.ndarray
+    span: np.ndarray
 
 
-def paragraphs(text: str | None, n: int = NGRAM) -> Paragraphs | None:
-    """All paragraphs of ``n`` words or more of a whole text; None without any."""
+def split(text: str | None, n: int = NGRAM) -> tuple[Paragraphs | None, Paragraphs | None]:
+    """Lines and chunks of ``n`` words or more of a whole text; None where there are none.
+
+    Places number the chunks, and the lines without any, in the text's order; a
+    line has the place of its first chunk and spans all of them.
+    """
     data = (text or "").encode()
     hashes, start, end = word_hashes(data)
     if len(hashes) < n:
-        return None
+        return None, None
     pair = mix(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[1:])
     padded = np.pad(pair, NEIGHBOURS, constant_values=np.uint64(2**64 - 1))
     around = np.lib.stride_tricks.sliding_window_view(padded, NEIGHBOURS)
@@ -60,32 +67,57 @@ def paragraphs(text: str | None, n: int = NGRAM) -> Paragraphs | None:
     opens = np.zeros(len(hashes), dtype=bool)
     opens[:-1] = (pair < before) & (pair <= after)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start)
-    opens[1:] |= line[1:] != line[:-1]
-    opens[0] = True
-    first = np.flatnonzero(opens)
-    words = np.diff(np.append(first, len(hashes)))
+    breaks = np.ones(len(hashes), dtype=bool)
+    breaks[1:] = line[1:] != line[:-1]
     run = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
     for i in range(n):
         run = run * np.uint64(0xD6E8FEB86659FD93) + hashes[i:i + len(run)]
     run = mix(run + np.uint64(n))
-    long = words >= n
-    first, words = first[long], words[long]
+    (line_first, line_words), (first, words) = (_long(opened, n) for opened in (breaks, opens | breaks))
+    lo, hi = np.searchsorted(first, line_first), np.searchsorted(first, line_first + line_words)
+    bare = lo == hi
+    skipped = np.cumsum(bare)
+    line_place = lo + skipped - bare
+    place = np.arange(len(first)) + np.append(0, skipped)[np.searchsorted(line_first, first, side="right")]
+    return (_units(run, start, end, line_first, line_words, line_place, np.maximum(hi - lo, 1), n),
+            _units(run, start, end, first, words, place, np.ones(len(first), np.int64), n))
+
+
+def _long(opens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the parts with ``n`` words or more."""
+    first = np.flatnonzero(opens)
+    words = np.diff(np.append(first, len(opens)))
+    return first[words >= n], words[words >= n]
+
+
+def _units(run: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, words: np.ndarray, place: np.ndarray,
+           span: np.ndarray, n: int) -> Paragraphs | None:
     if not len(first):
         return None
     counts = words - n + 1
     at = np.cumsum(counts) - counts
     shingles = run[np.repeat(first - at, counts) + np.arange(counts.sum())]
     fp = mix(np.add.reduceat(mix(shingles + np.uint64(0x51ED270B)), at) + words.astype(np.uint64))
-    return Paragraphs(shingles, at, fp, words, start[first], end[first + words - 1])
+    return Paragraphs(shingles, at, fp, words, start[first], end[first + words - 1], place, span)
+
+
+def whole_lines(text: str | None, n: int = NGRAM) -> Paragraphs | None:
+    """The lines of a text."""
+    return split(text, n)[0]
+
+
+def paragraphs(text: str | None, n: int = NGRAM) -> Paragraphs | None:
+    """The content-defined chunks of a text."""
+    return split(text, n)[1]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def _texts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, Paragraphs]]:
+def _texts(batch: pa.RecordBatch, n: int, part: int) -> Iterator[tuple[int, Paragraphs]]:
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        found = paragraphs(text, n)
+        found = split(text, n)[part]
         if found is not None:
             yield doc_id, found
 
@@ -107,14 +139,14 @@ def _batch(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
 
 
 def _distinct(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text): each distinct paragraph once, its fingerprint as id."""
+    """(doc_id, text): each distinct line once, its fingerprint as id."""
 
     def pick(batches):
         seen: set[int] = set()
         for batch in batches:
             ids, texts = [], []
             for text in batch.column(1).to_pylist():
-                found = paragraphs(text, n)
+                found = whole_lines(text, n)
                 if found is None:
                     continue
                 data = text.encode()
@@ -123,7 +155,7 @@ def _distinct(docs: DataFrame, n: int) -> DataFrame:
                         seen.add(fp)
                         ids.append(fp)
                         texts.append(data[start:end].decode(errors="replace"))
-            if len(seen) > 1_000_000:  # the same paragraph may then pass twice; the shuffle drops it
+            if len(seen) > 1_000_000:  # the same line may then pass twice; the shuffle drops it
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -131,30 +163,31 @@ def _distinct(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(fp, class) of the distinct paragraphs, by the exact join of their sets: every pair at the similarity is in one class."""
+    """(fp, class) of the distinct lines, by the exact join of their sets: every pair at the similarity is in one class."""
     found = ngram_components(stored(_distinct(docs, n), "distinct"), n, percent)
     return stored(found.select(F.col("doc_id").alias("fp"), F.col("component_id").alias("class")), "linked")
 
 
-UNIT = ["fp", "doc_id", "place", "words", "start", "stop"]
+UNIT = ["fp", "doc_id", "place", "span", "words", "start", "stop"]
+LINES, CHUNKS = 0, 1
 
 
-def _unit_rows(doc_id: int, found: Paragraphs, which: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
-    fp = found.fp.view(np.int64)[which]
-    return [fp, np.full(len(fp), doc_id), np.arange(len(found.fp))[which], found.words[which], found.start[which], found.end[which]]
+def _unit_rows(doc_id: int, found: Paragraphs) -> list[np.ndarray]:
+    fp = found.fp.view(np.int64)
+    return [fp, np.full(len(fp), doc_id), found.place, found.span, found.words, found.start, found.end]
 
 
-def _all(docs: DataFrame, n: int) -> DataFrame:
-    """``UNIT`` rows of all paragraphs."""
+def _all(docs: DataFrame, n: int, part: int) -> DataFrame:
+    """``UNIT`` rows of all lines or all chunks."""
 
     def units(batches):
-        yield from _long_batches((_unit_rows(d, found) for batch in batches for d, found in _texts(batch, n)), UNIT)
+        yield from _long_batches((_unit_rows(d, found) for batch in batches for d, found in _texts(batch, n, part)), UNIT)
 
     return docs.mapInArrow(units, ", ".join(f"{c} long" for c in UNIT))
 
 
 def _repeated(docs: DataFrame, n: int) -> DataFrame:
-    """``UNIT`` rows of the paragraphs that occur more than once: one pass over partitions sorted by fingerprint."""
+    """``UNIT`` rows of the chunks that occur more than once: one pass over partitions sorted by fingerprint."""
     schema = ", ".join(f"{c} long" for c in UNIT)
 
     def runs(batches):
@@ -174,32 +207,45 @@ def _repeated(docs: DataFrame, n: int) -> DataFrame:
             yield from rows.filter(pa.array(keep)).to_batches()
             held, passed = rows.slice(len(fp) - 1).combine_chunks().to_batches()[0], last
 
-    return _all(docs, n).repartition("fp").sortWithinPartitions("fp").mapInArrow(runs, schema)
+    return _all(docs, n, CHUNKS).repartition("fp").sortWithinPartitions("fp").mapInArrow(runs, schema)
+
+
+def _first_kept(units: DataFrame, *order: str) -> DataFrame:
+    """The units whose ``class`` spans documents; ``removed`` is false for the first of each class only."""
+    first = F.struct(*order, "doc_id", "place")
+    spread = units.groupBy("class").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(first).alias("head")).where("lo < hi")
+    return units.join(spread, "class").select(
+        *units.columns, ((F.col("doc_id") != F.col("head.doc_id")) | (F.col("place") != F.col("head.place"))).alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, run_words: int = RUN_WORDS) -> DataFrame:
     """One row per passage that other documents hold too: doc_id, start, stop (bytes of the UTF-8
     text), n_words, n_paragraphs, n_removed, component_id.
 
-    A passage is a row of neighbouring repeated paragraphs with ``run_words`` words
-    or more. n_removed counts those that are not the first of their component
-    (smallest doc_id, then place); component_id is that of the passage's first
-    paragraph. Rows without id or words take no part; a repeated doc_id counts
-    as one document, so its repeats alone make no passage.
+    A paragraph is a line in a component that spans documents, or else a chunk
+    that stands in other documents too. A passage is a row of neighbouring ones
+    with ``run_words`` words or more. n_removed counts those that are not the
+    first of their component (smallest doc_id, then place; for chunks, those
+    outside removed lines go first); component_id is that of the passage's first
+    paragraph. Rows without id or words take no part; a repeated doc_id counts as
+    one document, so its repeats alone make no passage.
     """
     rows = _rows(docs)
     linked = _linked(rows, n, percent)
-    several = linked.groupBy("class").agg(F.count("*").alias("sets")).where("sets > 1").select("class")
-    near = stored(linked.join(several, "class", "left_semi"), "near")
-    members = _repeated(rows, n).unionByName(_all(rows, n).join(near.hint("shuffle_hash"), "fp", "left_semi")).distinct()
-    classed = stored(stored(members, "members").join(near, "fp", "left").select(*UNIT, F.coalesce("class", "fp").alias("class")), "classed")
-    spread = classed.groupBy("class").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("head")).where("lo < hi")
-    kept = stored(classed.join(spread, "class").select(
-        *UNIT, "class", ((F.col("doc_id") != F.col("head.doc_id")) | (F.col("place") != F.col("head.place"))).alias("removed")), "kept")
-    of_doc = Window.partitionBy("doc_id").orderBy("place", "start")
-    island = kept.withColumn("island", F.col("place") - F.dense_rank().over(of_doc.orderBy("place")))
+    lines = stored(_first_kept(stored(_all(rows, n, LINES).distinct().join(linked, "fp"), "classed")), "lines")
+    chunks = stored(_repeated(rows, n).distinct().withColumn("class", F.col("fp")), "repeated")
+    covered = lines.select("doc_id", F.explode(F.sequence("place", F.col("place") + F.col("span") - 1)).alias("place"), "removed")
+    # Repeated rows of one doc_id with different texts may share places.
+    covered = covered.groupBy("doc_id", "place").agg(F.max("removed").alias("in_removed"))
+    chunks = stored(chunks.join(covered, ["doc_id", "place"], "left").select(
+        *UNIT, "class", F.col("in_removed").isNotNull().alias("in_line"), F.coalesce("in_removed", F.lit(False)).alias("in_removed")), "chunks")
+    kept = _first_kept(chunks, "in_removed").where("not in_line").select(*lines.columns)
+    of_doc = Window.partitionBy("doc_id").orderBy("place", "start", "stop", "fp")
+    reached = F.max(F.col("place") + F.col("span")).over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
+    opened = stored(lines.unionByName(kept), "kept").withColumn("opens", (F.col("place") > F.coalesce(reached, F.lit(-1))).cast("long"))
+    island = opened.withColumn("island", F.sum("opens").over(of_doc))
     return island.groupBy("doc_id", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count("*").alias("n_paragraphs"),
-        F.count_if("removed").alias("n_removed"), F.min_by("class", "place").alias("component_id"),
+        F.count_if("removed").alias("n_removed"), F.min_by("class", F.struct("place", "start")).alias("component_id"),
     ).where(F.col("n_words") >= run_words).drop("island")

@@ -68,13 +68,42 @@ def test_near_copies_in_a_crowded_bucket_are_linked(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     sets = {}
     for t in texts:
-        found = paragraphs(t)
+        found = paragraph_dedup.whole_lines(t)
         stops = [*found.first[1:].tolist(), len(found.shingles)]
         for fp, a, b in zip(found.fp.view("int64").tolist(), found.first.tolist(), stops, strict=True):
             sets[fp] = set(found.shingles[a:b].tolist())
     assert {r.fp: r["class"] for r in paragraph_dedup._linked(docs, 5, 75).collect()} == brute_force_classes(sets)
 
 
+def test_edited_lines_are_found_with_production_parameters(documents):
+    rng = random.Random(21)
+    line = prose(rng, 100, 5000).split()
+    edited = list(line)
+    edited[33], edited[66] = "new", "words"  # Jaccard 86 / 106
+    short = prose(rng, 30, 5000).split()
+    cut = short[:27]
+    texts = ["\n".join(["a b", " ".join(line), prose(rng, 40, 5000)]), prose(rng, 50, 5000) + "\n" + " ".join(edited),
+             " ".join(short), "one two\n" + " ".join(cut), prose(rng, 60, 5000)]
+    got = {r.doc_id: r for r in repeated_passages(documents(rows_of(texts))).collect()}
+    assert {d: (r.n_words, r.n_paragraphs, r.n_removed) for d, r in got.items()} == {0: (100, 1, 0), 1: (100, 1, 1), 2: (30, 1, 0), 3: (27, 1, 1)}
+    assert got[0].component_id == got[1].component_id != got[2].component_id == got[3].component_id
+    assert texts[1].encode()[got[1].start:got[1].stop].decode() == " ".join(edited)
+
+
+def test_lines_and_chunks_share_one_order():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "\n".join(prose(rng, rng.choice([1, 4, 5, 6, 8, 9, 20, 60]), 5000) for _ in range(rng.randrange(1, 9)))
+        lines, chunks = paragraph_dedup.split(text)
+        places = set() if chunks is None else set(chunks.place.tolist())
+        for i in range(0 if lines is None else len(lines.fp)):
+            inside = [] if chunks is None else [p for p, s in zip(chunks.place, chunks.start, strict=True) if lines.start[i] <= s < lines.end[i]]
+            own = range(lines.place[i], lines.place[i] + lines.span[i])
+            assert list(own) == (inside or [lines.place[i]])
+            places |= set(own)
+        assert places == set(range(len(places)))
+
+
 def test_paragraphs_shift_with_their_passage():
     rng = random.Random(1)
     p = prose(rng, 80, 5000)
