@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every text, and in long lines the surroundings of every telling
-word, is a sparse TF-IDF vector; inverse document frequencies of the templates'
+Every line of every text, and every window of a template's size in it, is a
+sparse TF-IDF vector; inverse document frequencies of the templates'
 words are counted over all documents, and any other word weighs as a word seen
 once. A file's own license is its best match from ``threshold`` on. A file named
 like a license file also governs its directory; files without a license of
@@ -31,8 +31,10 @@ TEMPLATES = {
 }
 FILE_NAMES = ("LICENSE", "LICENCE", "COPYING")
 THRESHOLD = 0.8
-LONG_LINE = 24
 REACH = 10
+TIE = 1e-9
+"""Scores closer than this are equal."""
+
 _WORD = regex.compile(r"[\p{L}\p{N}.+-]*[\p{L}\p{N}]")
 
 
@@ -70,6 +72,7 @@ class Matcher:
         self.known = {w: log((1 + total) / (1 + n)) + 1 for w, n in frequency.items()}
         self.other = log((1 + total) / 2) + 1
         self.templates = {k: self._vector(words_of(t)) for k, t in TEMPLATES.items()}
+        self.sizes = sorted({len(words_of(t)) for t in TEMPLATES.values()} | {2 * REACH})
         # A line counts only if it holds one of the rarer words of some template.
         self.telling = set()
         for text in TEMPLATES.values():
@@ -84,28 +87,69 @@ class Matcher:
         norm = sum(v * v for v in out.values()) ** 0.5
         return {w: v / norm for w, v in out.items()}
 
+    def _slid(self, words: list[str], top: float) -> tuple[float, str | None, int]:
+        """(score, template, first word) of the best window (of any template's size, or twice ``REACH``), if it beats ``top``; the first on ties."""
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        weights = np.array([self.known.get(w, self.other) for w in distinct])
+        ids = np.array([distinct[w] for w in words])
+        shares = {name: (weights * np.array([t.get(w, 0.0) for w in distinct]))[ids] for name, t in self.templates.items()}
+        best: tuple[float, str | None, int] = (top, None, 0)
+        for n in self.sizes:
+            around = np.zeros(n - 1)  # windows at the edges hold fewer words
+            squares = np.concatenate([around, (weights**2)[ids], around])
+            least, norms = np.sqrt(_window_sums(squares, n)), None
+            for name, share in shares.items():
+                inner = _window_sums(np.concatenate([around, share, around]), n)
+                # A window's norm is at least that of its words as if all were different.
+                if norms is None and (inner / least).max() <= best[0] + TIE:
+                    continue
+                if norms is None:
+                    none = [len(distinct)] * (n - 1)
+                    norms = np.sqrt(_window_norms([*none, *ids.tolist(), *none], squares.tolist(), n))
+                scores = inner / norms
+                at = int(np.flatnonzero(scores >= scores.max() - TIE)[0])
+                if scores[at] > best[0] + TIE:
+                    best = (float(scores[at]), name, max(0, at - n + 1))
+        return best
+
     def best(self, text: str) -> tuple[float, str | None, int | None]:
-        """(score, template, line number); equal scores go to the first line and the first template."""
+        """(score, template, line number); equal scores go to the first line."""
         top: tuple[float, str | None, int | None] = (0.0, None, None)
         for number, line in enumerate(text.split("\n")):
             words = words_of(line)
             if not self.telling.intersection(words):
                 continue
-            parts = [words]
-            if len(words) > LONG_LINE:
-                parts += [words[max(0, i - REACH):i + REACH] for i, w in enumerate(words) if w in self.telling]
-                sizes = {len(words_of(t)) for t in TEMPLATES.values()}
-                parts += [words[j:j + n] for i, w in enumerate(words) if w in self.telling for n in sizes
-                          for j in range(max(0, i - n + 1), i + 1)]
-            for part in parts:
-                vector = self._vector(part)
-                for name, template in self.templates.items():
-                    score = sum(v * template[w] for w, v in vector.items() if w in template)
-                    if score > top[0] + 1e-12:
-                        top = (score, name, number)
+            vector = self._vector(words)
+            for name, template in self.templates.items():
+                score = sum(v * template[w] for w, v in vector.items() if w in template)
+                if score > top[0] + TIE:
+                    top = (score, name, number)
+            score, name, _ = self._slid(words, top[0])
+            if name is not None:
+                top = (score, name, number)
         return top
 
 
+def _window_sums(values: np.ndarray, n: int) -> np.ndarray:
+    total = np.append(0.0, np.cumsum(values))
+    return total[n:] - total[:-n]
+
+
+def _window_norms(ids: list[int], squares: list[float], n: int) -> np.ndarray:
+    """Squared norms of the count vectors of all windows of ``n`` words."""
+    count, norm, out = [0] * (max(ids) + 1), 0.0, []
+    for i, w in enumerate(ids):
+        norm += squares[i] * (2 * count[w] + 1)
+        count[w] += 1
+        if i >= n:
+            old = ids[i - n]
+            count[old] -= 1
+            norm -= squares[i - n] * (2 * count[old] + 1)
+        if i >= n - 1:
+            out.append(norm)
+    return np.array(out)
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, own, score, line) of every row."""
     frequency, total = document_frequencies(files)

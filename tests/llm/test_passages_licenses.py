@@ -1,6 +1,8 @@
 import random
 
-from evospark.llm import paragraph_dedup
+import pytest
+
+from evospark.llm import licenses, paragraph_dedup
 from evospark.llm.licenses import TEMPLATES, document_paths, licensed
 from evospark.llm.paragraph_dedup import paragraphs, repeated_passages, tuned_bands
 from tests.llm.conftest import prose, rows_of
@@ -131,3 +133,32 @@ def test_licenses_and_inheritance(spark):
         1: ("MIT", "file"), 2: ("MIT", "directory"), 3: ("GPL-3.0", "directory"), 4: ("GPL-3.0", "file"), 5: ("Apache-2.0", "file"),
         6: (None, None), 7: (None, None), 8: (None, None), 9: ("CC-BY-NC-4.0", "file"), 10: (None, None)}
     assert got[3].from_dir == "a/b" and got[1].line == 1
+
+
+def matcher():
+    words = {w for t in TEMPLATES.values() for w in licenses.words_of(t)}
+    return licenses.Matcher({w: 300 if w in ("the", "of", "and", "in", "under") else 60 for w in words}, 10_000)
+
+
+def test_notices_inside_lines_of_any_length():
+    rng, found = random.Random(3), matcher()
+    assert found.best("(c) 2021 Foo. Released under the MIT License.")[:2] == (pytest.approx(1), "MIT")
+    for name, notice in TEMPLATES.items():
+        size = len(licenses.words_of(notice))
+        for length in range(size, 41):
+            before = rng.randrange(length - size + 1)
+            line = f"{prose(rng, before)} {notice} {prose(rng, length - size - before)}"
+            assert found.best("one\n" + line) == (pytest.approx(1), name, 1)
+
+
+def test_windows_against_plain_vectors():
+    rng, found = random.Random(5), matcher()
+    vocabulary = [*licenses.words_of(" ".join(TEMPLATES.values())), *prose(rng, 30).split()]
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 45))]
+        scores = [0.0]
+        for size in found.sizes:
+            for i in range(1 - size, len(words)):
+                part = found._vector(words[max(0, i):i + size])
+                scores += [sum(v * t.get(w, 0) for w, v in part.items()) for t in found.templates.values()]
+        assert found._slid(words, 0.0)[0] == pytest.approx(max(scores), abs=1e-8)
