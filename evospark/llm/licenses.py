@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
 Every line of every text, and every window of a template's size in it, is a
-sparse TF-IDF vector; inverse document frequencies of the templates'
+sparse TF-IDF vector, also where the window spans lines; whole texts are compared
+with full license texts by damped counts; inverse document frequencies of the templates'
 words are counted over all documents, and any other word weighs as a word seen
 once. A file's own license is its best match from ``threshold`` on. A file named
 like a license file also governs its directory; files without a license of
@@ -10,6 +11,8 @@ their own take that of the nearest directory above them.
 
 from __future__ import annotations
 
+from collections import Counter
+from importlib.resources import files as files_of
 from math import log
 
 import numpy as np
@@ -29,6 +32,44 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free "
+        "Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the {0} for more details.")
+_DISCLAIMER = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+               "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+               "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+               "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+               "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+               "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+# Standard file headers and the licenses of a few paragraphs, also found inside longer texts.
+HEADERS = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+           "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
+           "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+           "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included "
+           "in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+           "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+           "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+           "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+                    "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+                    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. "
+                    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                    "derived from this software without specific prior written permission. " + _DISCLAIMER,
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+                  "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
+                  "or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+                  "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+                  "limitations under the License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+               "with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    **{f"{k}-{v}": _GNU.format(f"GNU {kind} General Public License".replace("  ", " "), v.removesuffix(".0")) for k, kind, v in (
+        ("GPL", "", "3.0"), ("GPL", "", "2.0"), ("LGPL", "Lesser", "3.0"), ("LGPL", "Lesser", "2.1"), ("AGPL", "Affero", "3.0"))},
+}
+# Full texts in ``license_texts``, compared with whole files.
+FULL_TEXTS = ("Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "MPL-2.0")
 FILE_NAMES = ("LICENSE", "LICENCE", "COPYING")
 THRESHOLD = 0.8
 REACH = 10
@@ -42,8 +83,13 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def full_text(name: str) -> str:
+    return files_of("evospark.llm").joinpath("license_texts", f"{name}.txt").read_text()
+
+
 def _vocabulary() -> list[str]:
-    return sorted({w for t in TEMPLATES.values() for w in words_of(t)})
+    texts = [*TEMPLATES.values(), *HEADERS.values(), *map(full_text, FULL_TEXTS)]
+    return sorted({w for t in texts for w in words_of(t)})
 
 
 def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
@@ -71,11 +117,13 @@ class Matcher:
     def __init__(self, frequency: dict[str, int], total: int):
         self.known = {w: log((1 + total) / (1 + n)) + 1 for w, n in frequency.items()}
         self.other = log((1 + total) / 2) + 1
-        self.templates = {k: self._vector(words_of(t)) for k, t in TEMPLATES.items()}
-        self.sizes = sorted({len(words_of(t)) for t in TEMPLATES.values()} | {2 * REACH})
+        parts = [*TEMPLATES.items(), *((f"{k} header", t) for k, t in HEADERS.items())]
+        self.templates = {k: self._vector(words_of(t)) for k, t in parts}
+        self.full = {k: self._damped(words_of(full_text(k))) for k in FULL_TEXTS}
+        self.sizes = sorted({len(words_of(t)) for _, t in parts} | {2 * REACH})
         # A line counts only if it holds one of the rarer words of some template.
         self.telling = set()
-        for text in TEMPLATES.values():
+        for _, text in parts:
             words = set(words_of(text))
             middle = sorted(self.known.get(w, self.other) for w in words)[len(words) // 2]
             self.telling |= {w for w in words if self.known.get(w, self.other) >= middle}
@@ -87,6 +135,12 @@ class Matcher:
         norm = sum(v * v for v in out.values()) ** 0.5
         return {w: v / norm for w, v in out.items()}
 
+    def _damped(self, words: list[str]) -> dict[str, float]:
+        """As ``_vector`` with 1 + ln of the counts, so the commonest words of a long text don't outweigh all others."""
+        out = {w: (1 + log(n)) * self.known.get(w, self.other) for w, n in Counter(words).items()}
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {w: v / norm for w, v in out.items()}
+
     def _slid(self, words: list[str], top: float) -> tuple[float, str | None, int]:
         """(score, template, first word) of the best window (of any template's size, or twice ``REACH``), if it beats ``top``; the first on ties."""
         distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -113,21 +167,33 @@ class Matcher:
         return best
 
     def best(self, text: str) -> tuple[float, str | None, int | None]:
-        """(score, template, line number); equal scores go to the first line."""
+        """(score, license, line number): of lines, their windows, windows that span lines, and the whole text."""
         top: tuple[float, str | None, int | None] = (0.0, None, None)
-        for number, line in enumerate(text.split("\n")):
-            words = words_of(line)
-            if not self.telling.intersection(words):
+        lines = [words_of(line) for line in text.split("\n")]
+        words = [w for line in lines for w in line]
+        if not self.telling.intersection(words):
+            return top
+        for number, line in enumerate(lines):
+            if not self.telling.intersection(line):
                 continue
-            vector = self._vector(words)
+            vector = self._vector(line)
             for name, template in self.templates.items():
                 score = sum(v * template[w] for w, v in vector.items() if w in template)
                 if score > top[0] + TIE:
                     top = (score, name, number)
-            score, name, _ = self._slid(words, top[0])
+            score, name, _ = self._slid(line, top[0])
             if name is not None:
                 top = (score, name, number)
-        return top
+        score, name, at = self._slid(words, top[0])
+        if name is not None:
+            ends = np.cumsum([len(line) for line in lines])
+            top = (score, name, int(np.searchsorted(ends, at, side="right")))
+        vector = self._damped(words)
+        for name, template in self.full.items():
+            score = sum(v * template[w] for w, v in vector.items() if w in template)
+            if score > top[0] + TIE:
+                top = (score, name, 0)
+        return top[0], top[1] and top[1].removesuffix(" header"), top[2]
 
 
 def _window_sums(values: np.ndarray, n: int) -> np.ndarray:
@@ -199,10 +265,10 @@ def licensed(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text): documents as files ``source/lang/shelf/name``; a document of up to 3,000
-    characters with a short line that names a license is a license file of its shelf."""
+    """(doc_id, path, text): documents as files ``source/lang/shelf/name``; a document with a short
+    line that names a license is a license file of its shelf."""
     text = F.col("text").cast("string")
-    notice = (F.length(text) <= 3000) & F.exists(F.split(text, "\n"), lambda x: (F.length(x) <= 120) & F.lower(x).rlike("licen[cs]e"))
+    notice = F.exists(F.split(text, "\n"), lambda x: (F.length(x) <= 120) & F.lower(x).rlike("licen[cs]e"))
     name = F.when(notice, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     shelf = F.floor(F.col("doc_id") / 1000).cast("string")

@@ -162,3 +162,22 @@ def test_windows_against_plain_vectors():
                 part = found._vector(words[max(0, i):i + size])
                 scores += [sum(v * t.get(w, 0) for w, v in part.items()) for t in found.templates.values()]
         assert found._slid(words, 0.0)[0] == pytest.approx(max(scores), abs=1e-8)
+
+
+def test_wrapped_notices_headers_and_full_texts():
+    rng, found = random.Random(7), matcher()
+    for name, notice in [*TEMPLATES.items(), *licenses.HEADERS.items()]:
+        words = notice.split()
+        wrapped = "\n".join(" * " + " ".join(words[i:i + 3]) for i in range(0, len(words), 3))
+        score, got, line = found.best(f"{prose(rng, 30)}\n{prose(rng, 9)}\n{wrapped}\n{prose(rng, 200)}")
+        assert score >= 0.8 and got == name and line >= 1
+    for name in licenses.FULL_TEXTS:
+        assert found.best("Copyright (c) 2020 Foo\n" + licenses.full_text(name))[1] == name
+    assert found.best(prose(rng, 500) + " the license of the work is under use")[0] < 0.8
+
+
+def test_long_license_files_govern_their_shelf(spark):
+    text = licenses.full_text("Apache-2.0")
+    docs = spark.createDataFrame([(1, text, "en", "web"), (2, "plain words only", "en", "web")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.license, r.origin) for r in licensed(document_paths(docs)).collect()}
+    assert got == {1: ("Apache-2.0", "file"), 2: ("Apache-2.0", "directory")}
