@@ -110,7 +110,7 @@ def packed_pieces(docs: DataFrame, length: int = LENGTH, block_docs: int = BLOCK
     def pack(batches):
         context = TaskContext.get()
         block = _Block(length, (context.partitionId() if context else 0) << 40)
-        encoder, tokens = WordCachedEncoder(path), 0
+        encoder, tokens = WordCachedEncoder(path, spelt_out=False), 0
         end = np.array([END], dtype="<u2")
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -22,7 +22,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordCachedEncoder:
-    """Ids (16-bit little-endian bytes) of whole texts, as the tokenizer gives them without special tokens.
+    """Ids (16-bit little-endian bytes) of whole texts, as the tokenizer gives them without adding special tokens.
+
+    ``spelt_out`` encodes the names of special tokens inside a text letter by
+    letter; without it they give their own ids, as in a plain call of the library.
 
     The tokenizer never joins characters across the start of a space that stands
     between two other characters, so such texts are encoded word by word, and
@@ -30,12 +33,12 @@ class WordCachedEncoder:
     are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spelt_out: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelt_out
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must fit 16 bits")
         vocabulary = self.tokenizer.get_vocab()

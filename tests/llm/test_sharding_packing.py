@@ -146,3 +146,27 @@ def test_files_give_every_document_back(documents, corpus):
         at += r.n_tokens
     ids = [r.doc_id for r in got if r.doc_id is not None]
     assert ids == sorted(ids)
+
+
+def test_names_of_special_tokens_give_the_plain_tokenizers_ids(documents, monkeypatch):
+    from evospark.llm import tokenizing
+
+    plain = Tokenizer.from_file(vocabulary_path())
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "in<|endoftext|>side", "after <|endoftext|>", "x\n<|endoftext|>\ny <|endoftext|><|endoftext|>"]
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[1] == [505, 220, 50256, 734]
+    docs = documents([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    files = {r.doc_id: r for r in read_documents(write_shards(docs)).collect()}
+    pieces = {r.doc_id: r for r in packed_pieces(docs, block_docs=40).collect()}
+    at = 0
+    for i, want in enumerate(ids):
+        sums = [zlib.crc32(np.array([*want, end], "<u4").tobytes()) for end in (2, 0)]
+        assert (files[i].start, files[i].n_tokens, files[i].ids_crc32) == (at, len(want) + 1, sums[0])
+        assert (pieces[i].doc_tokens, pieces[i].ids_crc32) == (len(want) + 1, sums[1])
+        at += len(want) + 1
+    monkeypatch.setattr(tokenizing, "CACHED_WORDS", 50)
+    rng = random.Random(6)
+    alphabet = ["a", "B", "é", " ", " ", "\n", "'s", "<|endoftext|>", " <|endoftext|>", " x", "\t", "don't", "\xa0"]
+    mixed = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(500)]
+    for text, got in zip(mixed, WordCachedEncoder(vocabulary_path(), spelt_out=False).encode(mixed), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
