@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evospark.llm import (
-    licenses, mixing, ngram_join, packing, paragraph_dedup, pii, quality_rules, sharding, token_output, topk,
+    divergence, licenses, mixing, ngram_join, packing, paragraph_dedup, pii, quality_rules, sharding, spelling, token_output, topk,
 )
 from evospark.llm.common import table
+from evospark.llm.term_checks import DIVERGENCE_SQL, SPELLING_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,6 +71,16 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(token_output.write_shards(table(spark, sf_dir, "documents")))
 
 
+@_register
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 _CAPITALS = r"\p{Lu}+"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -133,4 +144,5 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 #: SQL of the queries that it can express.
 CHECKS: dict[str, str] = {
     "op1_ngram_join": _NGRAM_SQL, "op2_quality_rules": _quality_sql(), "op7_exact_topk": _TOPK_SQL,
+    "op11_spelling_variants": SPELLING_SQL, "op12_source_divergence": DIVERGENCE_SQL,
 }
