@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evospark.llm import (
-    divergence, licenses, mixing, ngram_join, packing, paragraph_dedup, pii, quality_rules, sharding, spelling, token_output, topk,
+    divergence, licenses, mixing, ngram_join, packing, paragraph_dedup, pii, quality_rules, sharding, spelling, token_output,
+    topk, toxicity,
 )
 from evospark.llm.common import table
 from evospark.llm.term_checks import DIVERGENCE_SQL, SPELLING_SQL
@@ -81,6 +82,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op13_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _CAPITALS = r"\p{Lu}+"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
