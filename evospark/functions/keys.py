@@ -16,13 +16,18 @@ def surrogate(*parts: Column | str) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def _whole(number: Column | str) -> Column:
+    """One type for whole numbers: the hash of an int is not that of an equal bigint."""
+    return (F.col(number) if isinstance(number, str) else number).cast("bigint")
+
+
 def generation_key(experiment: Column | str, number: Column | str) -> Column:
-    return surrogate(F.lit("generation"), experiment, number)
+    return surrogate(F.lit("generation"), _whole(experiment), _whole(number))
 
 
 def variant_key(experiment: Column | str, number: Column | str, index: Column | str) -> Column:
-    return surrogate(F.lit("variant"), experiment, number, index)
+    return surrogate(F.lit("variant"), _whole(experiment), _whole(number), index)
 
 
 def control_key(experiment: Column | str, number: Column | str) -> Column:
-    return surrogate(F.lit("control"), experiment, number)
+    return surrogate(F.lit("control"), _whole(experiment), _whole(number))

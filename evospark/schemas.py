@@ -60,6 +60,10 @@ DDL = {
         "has_premature_stop boolean, has_ambiguous_bases boolean, "
         "analysis " + ANALYSIS_STRUCT + ", created_at timestamp, updated_at timestamp"
     ),
+    "upload_files": (
+        "experiment_id bigint, file_path string, status string, error string, record_count bigint, "
+        "findings array<struct<level:string, code:string, occurrences:bigint>>"
+    ),
     "variant_lineage_closure": "ancestor_id bigint, descendant_id bigint, distance int",
     "variant_performance_rankings": (
         "generation_id bigint, variant_id bigint, metric_name string, metric_type string, "

@@ -7,7 +7,7 @@ fields as a map, the row number and the file.
 
 from __future__ import annotations
 
-import re
+import functools
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -194,8 +194,9 @@ def parse_json_texts(documents: DataFrame) -> DataFrame:
 
     An empty object is a record without fields. Items that are no objects give
     no record; ``fatal_file_errors`` reports their file. All fields of a record
-    are read in its own row.
+    are read in its own row. Of a key that a record repeats, the last value counts.
     """
+    _last_key_wins(documents)
     texts = documents.select("file_path", stripped(F.col("value")).alias("_text"))
     records = texts.where(F.try_parse_json("_text").isNotNull()).select(
         "file_path", F.posexplode(_json_items(F.col("_text"))).alias("_i", "_rec")
@@ -240,23 +241,22 @@ DELIMITED_GLOB = "*.{[tT][sS][vV],[cC][sS][vV]}"
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 
 
-def _matching(spark: SparkSession, path: str) -> list[str]:
-    """File names matching a glob, as Spark's own file index lists them
-    (zero-length files included)."""
+def _has_files(spark: SparkSession, folder: str, glob: str) -> bool:
     try:
-        names = spark.read.text(path).inputFiles()
+        spark.read.text(f"{folder}/{glob}")
     except AnalysisException:
-        return []
-    # Local names come with three slashes here, with one in the file metadata.
-    return [re.sub("^file:/+", "file:/", n) for n in names]
+        return False
+    return True
 
 
-def _has_files(spark: SparkSession, folder: str, glob: str) -> bool:
-    return bool(_matching(spark, f"{folder}/{glob}"))
+def _last_key_wins(documents: DataFrame) -> None:
+    """Repeated keys of a JSON object are no parse error in this session."""
+    documents.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def json_errors(documents: DataFrame) -> DataFrame:
     """(file_path, error) of every JSON document; NULL where its records can be read."""
+    _last_key_wins(documents)
     text = stripped(F.col("value"))
     return documents.select(
         "file_path",
@@ -268,33 +268,44 @@ def json_errors(documents: DataFrame) -> DataFrame:
 
 
 def fatal_file_errors(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
-    """Files that cannot be used at all, with the reason.
+    """Files of a folder that cannot be used at all, with the reason (see ``file_errors``)."""
+    delimited, documents = f"{folder}/{DELIMITED_GLOB}", f"{folder}/{JSON_GLOB}"
+    return file_errors(spark, [delimited] if _has_files(spark, folder, DELIMITED_GLOB) else [],
+                       [documents] if _has_files(spark, folder, JSON_GLOB) else [], records)
+
+
+def file_errors(spark: SparkSession, delimited: list[str], documents: list[str], records: DataFrame) -> DataFrame:
+    """(file_path, error) of the files that cannot be used at all, from paths or globs of both formats.
 
     ``empty_file``, ``invalid_json``, ``record_is_no_object``, ``no_records`` or
     ``no_data_rows``.
     """
-    names = _matching(spark, f"{folder}/{DELIMITED_GLOB}") + _matching(spark, f"{folder}/{JSON_GLOB}")
-    files = spark.createDataFrame([(n,) for n in names], "file_path string").withColumn(
-        "_json", F.col("file_path").rlike(r"(?i)\.json$"))
-    whole = json_errors(
-        spark.read.text(f"{folder}/{JSON_GLOB}", wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    ).select("file_path", F.col("error").alias("_reason"), F.lit(True).alias("_seen")) if _has_files(spark, folder, JSON_GLOB) else None
-    firsts = numbered_lines(spark, f"{folder}/{DELIMITED_GLOB}").where("line_number = 1").select(
-        "file_path", F.when(stripped(F.col("line")) == "", "empty_file").alias("_first")
-    ) if _has_files(spark, folder, DELIMITED_GLOB) else None
     counts = records.groupBy("file_path").agg(F.count(F.lit(1)).alias("_records"))
-    out = files.join(counts, "file_path", "left")
-    out = out.join(whole, "file_path", "left") if whole is not None else out.withColumns(
-        {"_reason": F.lit(None).cast("string"), "_seen": F.lit(None).cast("boolean")})
-    if firsts is not None:
-        out = out.join(firsts.withColumn("_has_line", F.lit(True)), "file_path", "left")
-    else:
-        out = out.withColumn("_first", F.lit(None).cast("string")).withColumn("_has_line", F.lit(None).cast("boolean"))
-    reason = (
-        F.when(F.col("_json") & F.col("_seen").isNull(), "empty_file")
-        .when(F.col("_json"), F.coalesce("_reason", F.when(F.col("_records").isNull(), "no_records")))
-        .when(F.col("_has_line").isNull(), "empty_file")
-        .when(F.col("_first").isNotNull(), F.col("_first"))
-        .when(F.col("_records").isNull(), "no_data_rows")
-    )
-    return out.select("file_path", reason.alias("error")).where("error is not null")
+    found = []
+    if documents:
+        read = json_errors(spark.read.text(documents, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value"))
+        found.append(_file_names(spark, documents).join(read.withColumn("_seen", F.lit(True)), "file_path", "left")
+                     .join(counts, "file_path", "left").select("file_path", F.when(F.col("_seen").isNull(), "empty_file").otherwise(
+                         F.coalesce("error", F.when(F.col("_records").isNull(), "no_records"))).alias("error")))
+    if delimited:
+        first = numbered_lines(spark, delimited).where("line_number = 1").select("file_path", (stripped(F.col("line")) == "").alias("_blank"))
+        found.append(_file_names(spark, delimited).join(first, "file_path", "left").join(counts, "file_path", "left").select(
+            "file_path", F.when(F.coalesce("_blank", F.lit(True)), "empty_file").when(F.col("_records").isNull(), "no_data_rows").alias("error")))
+    if not found:
+        return spark.createDataFrame([], "file_path string, error string")
+    return functools.reduce(DataFrame.unionByName, found).where("error is not null")
+
+
+def _file_names(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per file; contents are not read. Spark's scans leave out empty files, so those are listed."""
+    named = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path"))
+    empty = [n for p in paths for n in empty_files(spark, p)]
+    return named.unionByName(spark.createDataFrame([(n,) for n in empty], "file_path string"))
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the empty files that a path or glob matches."""
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    found = new_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(new_path(path)) or []
+    # A path made from its own text has the slashes that file names have in Spark's metadata.
+    return [new_path(s.getPath().toString()).toUri().toString() for s in found if s.isFile() and s.getLen() == 0]

@@ -1,57 +1,63 @@
-"""Continuous intake of upload folders.
+"""Continuous intake of upload folders into a campaign store.
 
-New files are picked up by a file stream of their names; each micro-batch runs
-the batch flow on its files. The merge is by key, so a batch that is retried
-after a failure changes nothing.
+New files are picked up by a file stream that reads their names only, empty
+files included; each micro-batch runs the batch flow on its files and commits
+once. The commit records the stream and its batch number, so a batch that is
+repeated after a failure changes nothing in any table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evospark.operators import qc
-from evospark.sources import snapshots, uploads
-from evospark.session import cut_lineage
+from evospark.plans import stored_flows
+from evospark.sources import uploads
+from evospark.sources.stores import CampaignStore
+
+MAX_FILES = 1000
+"""Files of one micro-batch, at most: as many names reach the driver."""
 
 
-def upload_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Stream of the names of new upload files (one row per line, name only)."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select(
-        F.col("_metadata.file_path").alias("file_path"))
+def upload_stream(spark: SparkSession, folder: str, max_files: int = MAX_FILES) -> DataFrame:
+    """Stream of new upload files of any format: one row with the name of each; contents are not read."""
+    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).schema(
+        "path string, modificationTime timestamp, length long, content binary").load(folder)
+    return files.select(F.col("_metadata.file_path").alias("file_path"))
 
 
 def start_intake(
-    spark: SparkSession, folder: str, store: str, experiment_of, checkpoint: str,
-    options: qc.QualityOptions = qc.QualityOptions(), **trigger,
+    spark: SparkSession, folder: str, store: CampaignStore, experiment_of: Callable[[Column], Column], checkpoint: str,
+    options: qc.QualityOptions = qc.QualityOptions(), max_files: int = MAX_FILES, **trigger,
 ) -> StreamingQuery:
-    """Start merging new delimited uploads of ``folder`` into the snapshots
-    below ``store`` (``variants`` and ``metrics``, which must exist).
+    """Start merging new TSV, CSV and JSON uploads of ``folder`` into ``store`` (see ``stored_flows.store_files``).
 
     ``experiment_of`` turns the ``file_path`` column into the experiment id.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        names = [r[0] for r in batch.select("file_path").distinct().collect()]  # file names only
-        if not names:
+        here = CampaignStore(session, store.root, store.parts)
+        # The stream's own id: a new checkpoint numbers its batches anew.
+        stream = json.loads(session.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        if here.head().applied((stream, batch_id)):
             return
-        records = cut_lineage(uploads.read_delimited(session, names))
-        checked = qc.check_records(records, options=options)
-        accepted, _ = qc.upload_gate(checked, qc.cross_record_findings(records))
-        scoped = accepted.withColumn("experiment_id", experiment_of(F.col("file_path")))
-        merged = snapshots.upsert_uploads(
-            scoped, snapshots.read_snapshot(session, f"{store}/variants"),
-            snapshots.read_snapshot(session, f"{store}/metrics"))
-        # Both tables are computed from the old versions before either is
-        # replaced; readers take the newest complete version.
-        variants, metrics = cut_lineage(merged["variants"]), cut_lineage(merged["metrics"])
-        snapshots.write_snapshot(variants, f"{store}/variants")
-        snapshots.write_snapshot(metrics, f"{store}/metrics")
+        names = [r[0] for r in batch.select("file_path").distinct().collect()]  # at most max_files
+        # A file stream has no rows for empty files: those of the folder that no commit has reported yet.
+        empty = uploads.empty_files(session, f"{folder.rstrip('/')}/*")
+        if empty:
+            reported = here.read("upload_files").where(F.col("file_path").isin(empty)).select("file_path").collect()
+            names += sorted(set(empty) - {r[0] for r in reported})
+        if names:
+            stored_flows.store_files(here, names, experiment_of, options, (stream, batch_id))
 
     return (
-        upload_stream(spark, folder)
+        upload_stream(spark, folder, max_files)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

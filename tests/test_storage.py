@@ -5,10 +5,6 @@ from pyspark.sql import functions as F
 from evospark.operators import embeddings as E
 from evospark.schemas import DDL, struct_of
 from evospark.sources import exports, snapshots
-from evospark.streaming.ingest import start_intake
-
-GOOD = "ACGT" * 30
-
 
 def test_every_schema_parses(spark):
     for name in DDL:
@@ -102,32 +98,6 @@ def test_idw_equals_formula(spark):
             assert r["grid_z"] == pytest.approx(sum(a * p[3] for a, p in zip(w, pts)) / sum(w))
 
 
-def test_streaming_intake_is_idempotent(spark, tmp_path):
-    folder, store = tmp_path / "in", str(tmp_path / "store")
-    folder.mkdir()
-    snapshots.write_snapshot(spark.createDataFrame([], struct_of("variants")).drop("sequence_analysis"), f"{store}/variants")
-    snapshots.write_snapshot(spark.createDataFrame([], struct_of("metrics")), f"{store}/metrics")
-    head = "id\tgen\tparent_id\tdna_yield\tprotein_yield\tsequence\tcontrol\n"
-
-    def run():
-        q = start_intake(spark, str(folder), store, lambda c: F.lit(1).cast("bigint"), str(tmp_path / "cp"))
-        q.awaitTermination()
-        assert q.exception() is None
-
-    (folder / "one.tsv").write_text(head + f"1\t0\t\t500\t50\t{GOOD}\tFalse\n2\t0\t\t400\t50\t{GOOD}\tTrue\n")
-    run()
-    (folder / "two.tsv").write_text(head + f"1\t0\t\t700\t70\t{GOOD}\tFalse\n7\t1\t1\t600\t60\t{GOOD}\tFalse\n")
-    (folder / "bad.tsv").write_text(head + f"9\t1\t1\t1\t60\t{GOOD}\tFalse\n")
-    run()
-    variants = snapshots.read_snapshot(spark, f"{store}/variants")
-    by = {r["plasmid_variant_index"]: r for r in variants.collect()}
-    assert set(by) == {"1", "7"} and by["7"]["parent_variant_id"] == by["1"]["variant_id"]
-    metrics = snapshots.read_snapshot(spark, f"{store}/metrics")
-    got = sorted((r["wt_control_id"] is not None, r["metric_name"], r["value"]) for r in metrics.collect())
-    assert got == [(False, "dna_yield_raw", 600.0), (False, "dna_yield_raw", 700.0), (False, "protein_yield_raw", 60.0),
-                   (False, "protein_yield_raw", 70.0), (True, "dna_yield_raw", 400.0), (True, "protein_yield_raw", 50.0)]
-
-
 def test_refresh_isolates_failures(spark, tmp_path):
     from evospark.plans.flows import refresh_views
 
