@@ -1,24 +1,33 @@
 """Mutation features, two-dimensional PCA and interpolated activity surfaces.
 
-All groups (experiments or generations) are fitted in one job. Only the
-feature-by-feature moments of a group meet in one task; their number is bounded
-by the protein, not by the number of variants.
+All groups (experiments or generations) are fitted together. The feature-by-feature
+moments of a group of up to ``MAX_FEATURES`` features meet in one task; wider
+groups are fitted by subspace iteration, as joins of the sparse rows with a table of axes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evospark.functions.coerce import not_nan
 from evospark.functions.keys import surrogate
 from evospark.operators.metrics import ACTIVITY, MUTATION_TOTAL, latest_metrics
+from evospark.session import cut_lineage
 
-MAX_FEATURES = 5_000  # a wider moment matrix is refused
+MAX_FEATURES = 5_000
+"""Widest group whose moment matrix is built; a wider one is iterated."""
+
+BLOCK = 8
+"""Axes that are iterated together; more of them converge in fewer rounds."""
+
+TOLERANCE = 1e-12
+MAX_ROUNDS = 300
 
 
 def mutation_features(variants: DataFrame, mutations: DataFrame, keys: Sequence[str], kind: str = "residue") -> DataFrame:
@@ -70,8 +79,6 @@ def _leading_axes(rows: pd.DataFrame) -> pd.DataFrame:
     """First two principal axes of one group from its feature moments."""
     names = np.unique(np.concatenate([rows["a"].to_numpy(str), rows["b"].to_numpy(str)]))
     d, n = len(names), float(rows["variants"].iloc[0])
-    if d > MAX_FEATURES:
-        raise ValueError(f"{d} features in one group; select or pool features first")
     i = np.searchsorted(names, rows["a"].to_numpy(str))
     j = np.searchsorted(names, rows["b"].to_numpy(str))
     second, mean = np.zeros((d, d)), np.zeros(d)
@@ -99,14 +106,8 @@ def _leading_axes(rows: pd.DataFrame) -> pd.DataFrame:
     return out[[*keep, "feature", "axis_x", "axis_y", "mean"]]
 
 
-def pca_points(variants: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Centred two-dimensional PCA coordinates of every variant of every group.
-
-    Groups without features get (0, 0); groups of fewer than two variants are
-    left out. The moments are summed per feature pair before the shuffle.
-    """
-    keys = list(keys)
-    sizes = variants.groupBy(*keys).agg(F.count(F.lit(1)).alias("variants")).where("variants >= 2")
+def _axes_by_moments(features: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, axis_x, axis_y, mean) from the moments of all feature pairs, summed before the shuffle."""
     cells = features.groupBy(*keys, "variant_id").agg(
         F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("_c"))
     pairs = cells.select(*keys, F.explode("_c").alias("p"), "_c").select(
@@ -115,8 +116,103 @@ def pca_points(variants: DataFrame, features: DataFrame, keys: Sequence[str]) ->
         F.sum(F.col("p.value") * F.col("q.value")).alias("dot"), F.sum("p.value").alias("total"))
     scoped = moments.join(sizes, keys)
     key_types = ", ".join(f"{k} {dict(scoped.dtypes)[k]}" for k in keys)
-    axes = scoped.groupBy(*keys).applyInPandas(
+    return scoped.groupBy(*keys).applyInPandas(
         _leading_axes, f"{key_types}, feature string, axis_x double, axis_y double, mean double")
+
+
+def _sums(column: str, factor: Column | None = None) -> Column:
+    """Sum of an array column (times ``factor``) element by element."""
+    values = F.col(column)
+    return F.array(*(F.sum(values[i] * factor if factor is not None else values[i]) for i in range(BLOCK)))
+
+
+def _rotations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per group, from the axes' images: their Gram matrix and their products with the axes, to the matrix that
+    turns the images into orthonormal axes in the order of their variance."""
+    for rows in batches:
+        turn, top = [], []
+        for gram, product in zip(rows["gram"], rows["product"], strict=True):
+            gram, product = (np.asarray(m, dtype=float).reshape(BLOCK, BLOCK) for m in (gram, product))
+            ritz, mix = np.linalg.eigh((product + product.T) / 2)  # within the space of the current axes
+            ritz, mix = ritz[::-1], mix[:, ::-1]
+            gram = mix.T @ gram @ mix
+            # Orthonormal columns, the leading ones changed least; directions without variance become zero.
+            basis = np.zeros((BLOCK, BLOCK))
+            for c in range(BLOCK):
+                v = np.eye(BLOCK)[c]
+                for _ in range(2):
+                    for b in range(c):
+                        v = v - basis[:, b] * (basis[:, b] @ gram @ v)
+                size = v @ gram @ v
+                if size > 1e-18 * max(gram[0, 0], 1e-300):
+                    basis[:, c] = v / np.sqrt(size)
+            turn.append((mix @ basis).ravel().tolist())
+            top.append(ritz[:2].tolist())
+        yield rows.drop(columns=["gram", "product"]).assign(turn=turn, ritz=top)
+
+
+def _axes_by_iteration(features: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, axis_x, axis_y, mean) by subspace iteration: a round is one join of the sparse rows with
+    the axes, one with the variants' coordinates, and a small matrix per group. No task holds a group.
+
+    Rounds end when the variances of the two axes stay as they are in every group, or after ``MAX_ROUNDS``.
+    """
+    rows = cut_lineage(features.join(sizes, keys).select(*keys, "variant_id", "feature", "value", "variants"))
+    columns = cut_lineage(rows.groupBy(*keys, "feature").agg((F.sum("value") / F.first("variants")).alias("mean")))
+    seeds = F.array(*(F.xxhash64("feature", F.lit(i)) / F.lit(float(2**63)) for i in range(BLOCK)))
+    axes = cut_lineage(columns.withColumn("axes", seeds))
+    key_types = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+    before = None
+    for _ in range(MAX_ROUNDS):
+        origin = axes.groupBy(*keys).agg(_sums("axes", F.col("mean")).alias("origin"))
+        placed = rows.join(axes.select(*keys, "feature", "axes"), [*keys, "feature"]).groupBy(*keys, "variant_id").agg(
+            _sums("axes", F.col("value")).alias("raw"))
+        at = placed.join(origin, keys).select(
+            *keys, "variant_id", F.zip_with("raw", "origin", lambda a, b: a - b).alias("at"))
+        # Centred coordinates sum to zero over all variants, so the rows need no centring on the way back.
+        image = rows.join(at, [*keys, "variant_id"]).groupBy(*keys, "feature").agg(_sums("at", F.col("value")).alias("back"))
+        shift = at.groupBy(*keys).agg(_sums("at").alias("rest"), F.count(F.lit(1)).alias("seen"))
+        # Variants without features lie at minus the origin and are part of that sum.
+        lost = shift.join(origin, keys).join(sizes, keys).select(*keys, F.zip_with(
+            "rest", "origin", lambda r, o: r - (F.col("variants") - F.col("seen")) * o).alias("rest"))
+        images = cut_lineage(axes.join(image, [*keys, "feature"]).join(lost, keys).select(
+            *keys, "feature", "mean", "axes", F.zip_with("back", "rest", lambda b, r: b - F.col("mean") * r).alias("image")))
+        cross = lambda a, b: F.array(*(F.sum(F.col(a)[i] * F.col(b)[j]) for i in range(BLOCK) for j in range(BLOCK)))
+        turns = cut_lineage(images.groupBy(*keys).agg(cross("image", "image").alias("gram"), cross("axes", "image").alias("product"))
+                            .mapInPandas(_rotations, f"{key_types}, turn array<double>, ritz array<double>"))
+        turned = F.array(*(functools.reduce(Column.__add__, (F.col("image")[i] * F.col("turn")[i * BLOCK + j] for i in range(BLOCK))) for j in range(BLOCK)))
+        axes = cut_lineage(images.join(turns.select(*keys, "turn"), keys).select(*keys, "feature", "mean", turned.alias("axes")))
+        now = turns.select(*keys, F.col("ritz").alias("now"))
+        if before is not None:
+            moved = now.join(before, keys).where(F.exists(
+                F.zip_with("now", "before", lambda a, b: F.abs(a - b) > TOLERANCE * F.abs(F.col("now")[0])), lambda x: x))
+            if moved.limit(1).count() == 0:
+                break
+        before = now.withColumnRenamed("now", "before")
+    # The largest loading is positive, so runs agree.
+    sign = axes.groupBy(*keys).agg(*(
+        F.signum(F.max_by(F.col("axes")[i], F.struct(F.round(F.abs(F.col("axes")[i]), 9), "feature"))).alias(f"_s{i}") for i in (0, 1)))
+    return axes.join(sign, keys).select(
+        *keys, "feature", *((F.col("axes")[i] * F.coalesce(F.nullif(f"_s{i}", F.lit(0.0)), F.lit(1.0))).alias(a) for i, a in enumerate(("axis_x", "axis_y"))), "mean")
+
+
+def pca_points(variants: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Centred two-dimensional PCA coordinates of every variant of every group.
+
+    Groups without features get (0, 0); groups of fewer than two variants are
+    left out. The axes come from the moments of the feature pairs, or by
+    iteration in groups of more than ``MAX_FEATURES`` features.
+    """
+    keys = list(keys)
+    sizes = variants.groupBy(*keys).agg(F.count(F.lit(1)).alias("variants")).where("variants >= 2")
+    width = cut_lineage(features.groupBy(*keys, "feature").agg(F.lit(1)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_width")))
+    narrow, wide = (width.where(c).select(*keys) for c in (F.col("_width") <= MAX_FEATURES, F.col("_width") > MAX_FEATURES))
+    if wide.limit(1).count():
+        axes = cut_lineage(_axes_by_iteration(features.join(wide, keys, "left_semi"), sizes, keys))
+        if narrow.limit(1).count():
+            axes = axes.unionByName(_axes_by_moments(features.join(narrow, keys, "left_semi"), sizes, keys))
+    else:
+        axes = _axes_by_moments(features, sizes, keys)
     origin = axes.groupBy(*keys).agg(
         F.sum(F.col("mean") * F.col("axis_x")).alias("_ox"), F.sum(F.col("mean") * F.col("axis_y")).alias("_oy"))
     placed = features.join(axes, [*keys, "feature"]).groupBy(*keys, "variant_id").agg(

@@ -11,6 +11,7 @@ from evospark.plans import flows as P
 from evospark.plans.registry import register
 from evospark.plans.reports import LATEST, rounded
 from evospark.plans.views import table, view
+from evospark.session import cut_lineage
 from evospark.sources import exports, snapshots
 
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -239,6 +240,28 @@ def pca_points(spark, sf):
     return _points(spark, sf)
 
 
+@register("pca_invariants", """
+select v.experiment_id, count(*) as points, 0.0 as mean_x, 0.0 as mean_y, 0.0 as correlation, true as ordered, 1.0 as axis_x, 1.0 as axis_y
+from {variants} v group by 1""")
+def pca_invariants(spark, sf):
+    """What makes points principal: zero means, no correlation, and both axes are eigenvectors (the squared products
+    of a coordinate with the features add up to the square of its own sum of squares)."""
+    variants = view(spark, sf, "variants")
+    features = cut_lineage(E.mutation_features(variants, view(spark, sf, "mutations"), ["experiment_id"], "position"))
+    points = cut_lineage(E.pca_points(variants, features, ["experiment_id"]))
+    x, y = F.col("pca_x"), F.col("pca_y")
+    sums = points.groupBy("experiment_id").agg(
+        F.count("*").alias("points"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
+    products = features.join(points, ["experiment_id", "variant_id"]).groupBy("experiment_id", "feature").agg(
+        F.sum(F.col("value") * x).alias("sx"), F.sum(F.col("value") * y).alias("sy"))
+    eigen = products.groupBy("experiment_id").agg(F.sum(F.col("sx") * F.col("sx")).alias("ex"), F.sum(F.col("sy") * F.col("sy")).alias("ey"))
+    close = lambda c: (F.round(c, 6) + 0.0).cast("double")
+    return sums.join(eigen, "experiment_id").select(
+        "experiment_id", "points", F.abs(close(F.col("mx"))).alias("mean_x"), F.abs(close(F.col("my"))).alias("mean_y"),
+        F.abs(close(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))).alias("correlation"), (F.col("xx") >= F.col("yy")).alias("ordered"),
+        close(F.col("ex") / (F.col("xx") * F.col("xx"))).alias("axis_x"), close(F.col("ey") / (F.col("yy") * F.col("yy"))).alias("axis_y"))
+
+
 @register("activity_landscape")
 def activity_landscape(spark, sf):
     return E.activity_landscape(view(spark, sf, "variants"), view(spark, sf, "derived"), _points(spark, sf))

@@ -89,6 +89,43 @@ def test_pca_equals_svd(spark):
         assert min(np.abs(got[:, k] - want).max(), np.abs(got[:, k] + want).max()) < 1e-8
 
 
+def test_iterated_axes_equal_the_moments(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = (rng.random((40, 12)) < 0.3).astype(float) + np.outer(np.arange(40) % 3, np.r_[2, 1, np.zeros(10)]) + np.outer(np.arange(40) % 2, np.r_[0, 0, 1, 2, np.zeros(8)])
+    rows = [(1, i, f"p{j}", float(x[i, j])) for i in range(40) for j in range(12) if x[i, j]]
+    rows += [(2, 100 + i, f"p{j}", 1.0) for i in range(5) for j in range(i + 1)]
+    features = spark.createDataFrame(rows, "experiment_id long, variant_id long, feature string, value double")
+    variants = spark.createDataFrame([(1, i) for i in range(42)] + [(2, 100 + i) for i in range(6)], "experiment_id long, variant_id long")
+
+    def points():
+        return {r.variant_id: (r.pca_x, r.pca_y) for r in E.pca_points(variants, features, ["experiment_id"]).collect()}
+
+    exact = points()
+    monkeypatch.setattr(E, "MAX_FEATURES", 5)  # the first group is iterated, the second is not
+    iterated = points()
+    assert iterated.keys() == exact.keys()
+    for i, p in exact.items():
+        assert iterated[i] == pytest.approx(p, abs=1e-5)
+
+
+def test_more_features_than_a_moment_matrix(spark):
+    rng = np.random.default_rng(7)
+    side = rng.integers(0, 4, 60)
+    rows = [(1, i, f"f{j}", 1.0) for i in range(60) for j in range(i * 90, (i + 1) * 90)]
+    rows += [(1, i, f"b{side[i]}-{j}", 3.0) for i in range(60) for j in range(40)]
+    features = spark.createDataFrame(list(dict.fromkeys(rows)), "experiment_id long, variant_id long, feature string, value double")
+    assert features.select("feature").distinct().count() > E.MAX_FEATURES
+    variants = spark.createDataFrame([(1, i) for i in range(60)], "experiment_id long, variant_id long")
+    got = {r.variant_id: (r.pca_x, r.pca_y) for r in E.pca_points(variants, features, ["experiment_id"]).collect()}
+    names = {n: i for i, n in enumerate(sorted({r[2] for r in rows}))}
+    x = np.zeros((60, len(names)))
+    for _, i, n, v in rows:
+        x[i, names[n]] = v
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    found = np.array([got[i] for i in range(60)])
+    assert (found**2).sum(axis=0) == pytest.approx(s[:2] ** 2, rel=1e-6)
+
+
 def test_idw_equals_formula(spark):
     pts = [(1, 0.0, 0.0, 1.0), (1, 1.0, 2.0, 3.0), (1, 1.0, 2.0, 5.0), (1, 0.5, 1.0, 2.0)]
     df = spark.createDataFrame(pts, "g int, x double, y double, z double")
