@@ -26,7 +26,7 @@ from evospark.llm.common import mix, stored
 from evospark.llm.terms import batch_runs, codes, distinct
 
 SUPPORT = 3
-LEVELS = (3, 5, 8)
+LEVELS = (4, 8)
 """Bytes of the prefixes that are counted before the complete terms."""
 
 BITS = 26
@@ -34,6 +34,9 @@ BITS = 26
 
 SCALE = 1_000_000_000
 TOP_TERMS = 200
+_CHUNK = 1 << 21
+"""Bytes of text whose counts are summed before they leave a task."""
+
 _PAIRS = 1 << 20
 
 
@@ -65,7 +68,7 @@ def _chunks(batch: pa.RecordBatch, live: _Live | None):
     (text, lang, ...)."""
     lang, names = codes(batch.column(1))
     seeds = np.array([_seed(x) for x in names.to_pylist()], dtype=np.uint64)
-    for runs in batch_runs(batch.column(0)):
+    for runs in batch_runs(batch.column(0), _CHUNK):
         if not len(runs.start):
             continue
         own = lang[runs.first:runs.first + runs.count]
@@ -114,7 +117,8 @@ def _live_prefixes(texts: DataFrame, level: int, live: _Live | None, support: in
 
 
 def kept_terms(docs: DataFrame, support: int = SUPPORT, levels: tuple[int, ...] = LEVELS, bits: int = BITS) -> DataFrame:
-    """(lang, source, term, n): occurrences of every kept term in every source that holds it.
+    """(lang, term, lang_n, held): every kept term with its occurrences in the language and, as an array of
+    (source, n), in every source that holds it.
 
     ``docs`` has text, lang and source; null is ''. Every row is a document of
     its own, also rows with equal ids or texts. A term is a run of ASCII letters
@@ -144,10 +148,11 @@ def kept_terms(docs: DataFrame, support: int = SUPPORT, levels: tuple[int, ...]
                      pa.array(np.add.reduceat(n[order], first) if len(order) else n), pa.array(docs_in)],
                     names=["lang", "source", "term", "n", "docs"])
 
-    counts = stored(texts.mapInArrow(count, "lang string, source string, term string, n long, docs long")
-                    .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    enough = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= support).select("lang", "term")
-    return stored(counts.join(enough, ["lang", "term"]).select("lang", "source", "term", "n"), "kept")
+    counts = texts.mapInArrow(count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    kept = counts.groupBy("lang", "term").agg(  # one entry per source of the language
+        F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("held"))
+    return stored(kept.where(F.col("docs") >= support).select("lang", "term", "lang_n", "held"), "kept")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -176,25 +181,24 @@ def divergences(docs: DataFrame, support: int = SUPPORT, top: int = TOP_TERMS, l
     smaller item in byte order. No rows for an empty table.
     """
     kept = kept_terms(docs, support, levels)
-    of_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    of_lang = stored(of_lang, "lang_terms")
-    sizes = of_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+    each = kept.select("lang", "term", "lang_n", F.explode("held").alias("h")).select("lang", "term", "lang_n", "h.*")
+    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    totals = each.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     zero = F.lit(0).cast("long")
     groups = (_texts(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
               .select("lang", "source", *(F.coalesce(c, zero).alias(c) for c in ("total", "held", "v", "lang_total"))))
     groups = stored(groups.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long").alias("sid"),
                                   F.when(F.col("v") > 0, _share(zero, F.greatest(F.col("total") + F.col("v"), F.lit(1)))).alias("p0")), "groups")
     own = groups.select("lang", "source", "sid", "p0", (F.col("total") + F.col("v")).alias("of"), (F.col("lang_total") + F.col("v")).alias("lang_of"))
-    shares = stored(kept.join(own, ["lang", "source"]).select(
-        "lang", "source", "sid", "term", "p0", "lang_of", _share(F.col("n"), F.col("of")).alias("p")), "shares")
-    return _terms(shares, of_lang, top).unionByName(_pairs(shares, groups))
+    shares = each.join(own, ["lang", "source"]).select(
+        "lang", "source", "sid", "term", "p0", _share(F.col("n"), F.col("of")).alias("p"), _share(F.col("lang_n"), F.col("lang_of")).alias("q"))
+    shares = stored(shares, "shares")
+    return _terms(shares, top).unionByName(_pairs(shares, groups))
 
 
-def _terms(shares: DataFrame, of_lang: DataFrame, top: int) -> DataFrame:
-    q = _share(F.col("lang_n"), F.col("lang_of"))
-    ahead = shares.join(of_lang, ["lang", "term"]).withColumn("q", q).where("p > q")
-    ranked = ahead.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
+def _terms(shares: DataFrame, top: int) -> DataFrame:
+    ranked = shares.where("p > q").select(
+        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
