@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def shielded(docs: DataFrame, needed: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` for work that keeps rows and columns: the columns it doesn't need travel inside one struct,
+    so no name of theirs can clash with a helper column."""
+    other = [c for c in docs.columns if c not in needed]
+    if not other:
+        return work(docs).select(*docs.columns)
+    inside = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(other))).alias("other columns")
+    out = work(docs.select(*(c for c in docs.columns if c in needed), inside))
+    places = {c: f"c{i}" for i, c in enumerate(other)}
+    return out.select(*(F.col(f"`other columns`.{places[c]}").alias(c) if c in places else c for c in docs.columns))
+
+
 # --- word hashing -----------------------------------------------------------
 # A word's hash is a polynomial over random byte values modulo 2**64, finished
 # by a bijective mix. It is the same on every machine.

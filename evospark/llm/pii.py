@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evospark.llm.common import free_name, stored
+from evospark.llm.common import free_name, shielded, stored
 
 # Kinds in their order, each with its pattern. Possessive repeats
 # and the look-behind only spare backtracking; the matches are those of the
@@ -182,6 +182,10 @@ def _masked(text: Column, kind: str, present: Column) -> Column:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind in brackets and disclosing
     terms generalised or removed; null texts stay null and ``n_chars``, if present, follows the text."""
+    return shielded(docs, ["doc_id", "text", "n_chars"], _sanitised)
+
+
+def _sanitised(docs: DataFrame) -> DataFrame:
     source, spans = free_name(docs, "_source"), free_name(docs, "_spans")
     found = with_spans(docs.withColumn(source, F.coalesce(F.col("text").cast("string"), F.lit(""))), source, spans)
     terms = F.col(f"{spans}_terms")
@@ -195,5 +199,5 @@ def sanitised(docs: DataFrame) -> DataFrame:
     touched = (F.size(spans) > 0) & F.col("text").isNotNull()
     clean = found.withColumn(source, F.when(touched, out).otherwise(F.col("text")))
     columns = [F.when(touched, F.length(source)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars"
-               else F.col(source).alias(c) if c == "text" else F.col(c) for c, t in docs.dtypes]
+               else F.col(source).alias(c) if c == "text" else F.col(f"`{c}`") for c, t in docs.dtypes]
     return clean.select(*columns)

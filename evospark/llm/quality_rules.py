@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evospark.llm.common import WORD, free_name, stored
+from evospark.llm.common import WORD, free_name, shielded, stored
 
 RULES = {
     "symbols": "least(1D, n_symbols / greatest(word_chars, 1))",
@@ -162,7 +162,7 @@ def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rules per row.
 
     One row per input row, also for null ids, repeated rows and null texts (no
-    words, so base_failed). A null language is a stratum of its own.
+    words, so base_failed). A null language and an empty one are one stratum.
     """
     values = measured(docs, ["doc_id", "lang"], "m")
     out = judged(values, calibrated(values, labels, "m", _stratum()), "m", _stratum(), "v")
@@ -171,8 +171,12 @@ def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
+    """The rows of ``docs`` that the rules keep, with their own columns, whatever these are called."""
+    return shielded(docs, ["doc_id", "text", "lang"], lambda d: _kept(d, labels))
+
+
+def _kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at, verdict = free_name(docs, "_measures"), free_name(docs, "_verdict")
-    values = measured(docs, docs.columns, at)
+    values = measured(docs, [f"`{c}`" for c in docs.columns], at)
     out = judged(values, calibrated(values, labels, at, _stratum()), at, _stratum(), verdict)
-    return out.where(f"`{verdict}`.kept").select(*docs.columns)
+    return out.where(f"`{verdict}`.kept").select(*(f"`{c}`" for c in docs.columns))

@@ -11,7 +11,7 @@ from tests.llm.conftest import prose, rows_of
 def test_margins_are_met(documents, corpus):
     assert mixed(documents(corpus)).count() == len(corpus)
     corpus = [r for r in corpus if "source" in r]  # the rows without any value can't meet three shares at once
-    got = mixed(documents(corpus))
+    got = mixed(documents(corpus), kept_share=None)
     assert got.columns[-1] == "mix_"  # the table has a column of that name
     rows = got.select("source", "lang", "mix_.*").collect()
     assert len(rows) == len(corpus)
@@ -26,6 +26,39 @@ def test_margins_are_met(documents, corpus):
     assert max(r.probability for r in rows) == pytest.approx(1)
 
 
+def test_a_stray_row_does_not_shrink_the_sample(documents):
+    import random
+
+    rng = random.Random(4)
+    rows = rows_of([prose(rng, rng.randrange(20, 90)) for _ in range(900)])
+
+    def kept(rows):
+        m = [r[0] for r in mixed(documents(rows)).select("mix_").collect()]
+        assert all(x.saturated == (x.probability >= 1) for x in m)
+        return sum(x.probability * x.n_tokens for x in m) / sum(x.n_tokens for x in m)
+
+    plain = kept(rows)
+    assert plain == pytest.approx(0.9, abs=1e-6)
+    stray = {"doc_id": 10_000, "text": prose(rng, 20), "lang": None, "source": "never seen before", "n_chars": 1}
+    assert kept([*rows, stray]) == pytest.approx(plain, abs=0.01)
+
+
+def test_scale_against_bisection(spark):
+    from evospark.llm.mixing import sampling_scale
+
+    rng = np.random.default_rng(5)
+    tokens, weight = rng.integers(1, 1000, 40).astype(float), rng.dirichlet(np.full(40, 0.4)) + 1e-9
+    cells = spark.createDataFrame([(float(t), float(w)) for t, w in zip(tokens, weight, strict=True)], "tokens double, weight double")
+    for share in (0.05, 0.5, 0.9, 1.0):
+        c = sampling_scale(cells, share)
+        assert np.minimum(tokens, c * weight).sum() == pytest.approx(share * tokens.sum(), rel=1e-9)
+
+
+def test_clashing_names(documents):
+    docs = documents(rows_of(["some words here", "more of them"])).withColumn("_topic_words", F.lit(1)).withColumn("_topic__words", F.lit(2))
+    assert sampled_documents(docs, kept_share=1.0).columns == docs.columns
+
+
 def test_rake_against_numpy(spark):
     rng = np.random.default_rng(2)
     table = rng.integers(1, 100, (4, 3)).astype(float)
