@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evospark.llm.tokenizing import WordCachedEncoder, crc, groups_of_texts, vocabulary_path
+from evospark.llm.tokenizing import crc, vocabulary_path, worker_encoder
 
 LENGTH = 1024
 LINEAR = 4096
@@ -110,18 +110,16 @@ def packed_pieces(docs: DataFrame, length: int = LENGTH, block_docs: int = BLOCK
     def pack(batches):
         context = TaskContext.get()
         block = _Block(length, (context.partitionId() if context else 0) << 40)
-        encoder, tokens = WordCachedEncoder(path, spelt_out=False), 0
+        encoder, tokens = worker_encoder(path), 0
         end = np.array([END], dtype="<u2")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in groups_of_texts(texts):
-                for key, data in zip(keys[part], encoder.encode(texts[part]), strict=True):
-                    ids = np.concatenate([np.frombuffer(data, dtype="<u2"), end])
-                    block.docs.append((key, ids))
-                    tokens += len(ids)
-                    if len(block.docs) >= block_docs or tokens >= 4_000_000:
-                        yield block.pieces()
-                        tokens = 0
+            for key, data in zip(batch.column(0).to_pylist(), encoder.encode_array(batch.column(1)), strict=True):
+                ids = np.concatenate([data, end])
+                block.docs.append((key, ids))
+                tokens += len(ids)
+                if len(block.docs) >= block_docs or tokens >= 4_000_000:
+                    yield block.pieces()
+                    tokens = 0
         yield block.pieces()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
