@@ -10,9 +10,9 @@ import pyarrow as pa
 from evospark.llm.common import mix
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_WORDS = 700_000
-SPACE = "Ġ"
-"""How byte-level vocabularies write a space."""
+CACHED_WORDS = 1_200_000
+OPENERS = ("Ġ", "Ċ")
+"""How byte-level vocabularies write a space and a line break."""
 
 KEPT_BYTES = 64
 """Longer units are encoded each time, not kept in the table."""
@@ -28,6 +28,12 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _LEADS = np.zeros(256, dtype=bool)
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[0x20, 0x0A]] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in ",.;:!?"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[ord("A"):ord("Z") + 1] = _LETTER[ord("a"):ord("z") + 1] = True
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
@@ -123,8 +129,9 @@ class WordCachedEncoder:
     ``spelt_out`` encodes the names of special tokens inside a text letter by
     letter; without it they give their own ids, as in a plain call of the library.
 
-    The tokenizer never joins characters across the start of a space that stands
-    between two characters other than white space, so texts are cut there into
+    The tokenizer never joins characters across the start of one space or line
+    break that stands between two characters other than white space, nor between
+    an ASCII letter and one of ``,.;:!?`` after it, so texts are cut there into
     units. Units of up to ``KEPT_BYTES`` bytes are known by a 64-bit hash of
     their bytes and length and looked up many at a time; new ones, and all longer
     ones, are encoded by the library. A full table is emptied.
@@ -139,15 +146,15 @@ class WordCachedEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must fit 16 bits")
         vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids whose bytes begin with a space
-        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids whose bytes begin with a space or a line break
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(OPENERS)]] = True
         self.table = _Table()
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
 
     def _learn(self, hashes: np.ndarray, units: list[bytes], joinable: np.ndarray) -> None:
-        """Joinable units begin with a space and hold no other white space: only their first id begins with a space."""
+        """Joinable units begin with a space or a line break and hold no other white space: only their first id begins with one."""
         together = np.flatnonzero(joinable)
         if len(together):
             ids = self._plain(b"".join(units[i] for i in together.tolist()).decode())
@@ -171,7 +178,7 @@ class WordCachedEncoder:
                 at = kept[first]
             units = [data[a:a + n].tobytes() for a, n in zip(start[at].tolist(), size[at].tolist(), strict=True)]
             inside = whites[start[at] + size[at]] - whites[start[at]]
-            self._learn(fresh, units, (data[start[at]] == 0x20) & (inside == 1))
+            self._learn(fresh, units, _BREAK[data[start[at]]] & (inside == 1))
             entry = self.table.find(hashes)
         count = np.zeros(len(start), dtype=np.int64)
         count[kept] = self.table.size[entry]
@@ -212,7 +219,8 @@ class WordCachedEncoder:
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[borders] = True
         if len(data) > 2:  # a space at the end of a text starts nothing
-            cut[1:-2] |= (data[1:-1] == 0x20) & ~white[:-2] & ~white[2:] & ~cut[2:-1]
+            cut[1:-2] |= _BREAK[data[1:-1]] & ~white[:-2] & ~white[2:] & ~cut[2:-1]
+            cut[1:-1] |= _STOP[data[1:]] & _LETTER[data[:-1]]
         start = np.flatnonzero(cut[:-1])
         size = np.diff(np.append(start, len(data)))
         whites = np.zeros(len(data) + 1, dtype=np.int32)
