@@ -14,6 +14,8 @@ PACKED = 8
 _CHUNK = 1 << 20
 _TERM = np.zeros(256, dtype=bool)
 _TERM[ord("A"):ord("Z") + 1] = _TERM[ord("a"):ord("z") + 1] = _TERM[0x80:] = True
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(PACKED + 1)], dtype=np.uint64)
+_SPACE_AFTER = np.array([0x20 << 8 * n for n in range(PACKED)] + [0], dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -32,13 +34,14 @@ class Runs:
     def packed(self, size: int = PACKED, closed: bool = False) -> np.ndarray:
         """The first ``size`` bytes of every run; ``closed`` puts a space behind a run that is shorter."""
         length = self.end - self.start
-        out = np.zeros(len(self.start), dtype=np.uint64)
-        last = len(self.data) - 1
-        for i in range(size):
-            byte = self.data[np.minimum(self.start + i, last)]
-            byte = np.where(length > i, byte, np.where(length == i, 0x20 if closed else 0, 0))
-            out |= byte.astype(np.uint64) << np.uint64(8 * (PACKED - 1 - i))
-        return out
+        words = np.zeros(len(self.data) // 8 + 2, dtype="<u8")
+        words.view(np.uint8)[:len(self.data)] = self.data
+        first, shift = self.start >> 3, ((self.start & 7) << 3).astype(np.uint64)
+        out = (words[first] >> shift) | ((words[first + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+        out &= _LOW_BYTES[np.minimum(length, size)]
+        if closed:
+            out |= _SPACE_AFTER[np.where(length < size, length, PACKED)]
+        return out.byteswap()
 
     def strings(self, chosen: np.ndarray) -> pa.Array:
         """The chosen runs as an Arrow string array."""
