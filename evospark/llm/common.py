@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +157,30 @@ def batch_words(texts: pa.Array, lower: bool = True):
         at = to
 
 
+# --- bit tables -------------------------------------------------------------
+
+
+class Marks:
+    """Bit table of hashes behind a broadcast variable. It only saves work: a value that was not marked may pass."""
+
+    def __init__(self, bits: int, sent: Broadcast):
+        self.bits, self.sent = bits, sent
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        slot = (values.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.sent.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def marks(values: DataFrame, column: str, bits: int = 26) -> Marks:
+    """The hashes of a column as 2**bits bits (8 MB), whatever their number; at most one row per 64 bits reaches the driver."""
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    word = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
+    rows = values.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(word).alias("word")).toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[np.asarray(rows.column("at"), dtype=np.int64)] = np.asarray(rows.column("word"), dtype=np.int64).view(np.uint64)
+    return Marks(bits, values.sparkSession.sparkContext.broadcast(table))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every linked node: the smallest node it reaches.
 

@@ -1,9 +1,8 @@
 """Repeated passages by paragraph.
 
-Lines and, inside them, chunks are compared. Distinct lines are sets of 5-word
-shingles for the exact join of ``ngram_join``: every pair at the similarity is
-linked or already in one component, so none depends on the luck of a MinHash
-band. A line of a component that spans documents is a repeat. Other lines are
+Lines and, inside them, chunks are compared. Distinct lines are banded, verified
+and joined into components by ``line_classes``. A line of a component that
+spans documents is a repeat. Other lines are
 cut at content-defined places (a word pair whose hash is the least among its
 neighbours), so that an exact passage is found wherever it stands inside them.
 Of all repeats of a component but the first are removed, where repeats stand in
@@ -13,7 +12,6 @@ a row of at least ``RUN_WORDS`` words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
 from typing import NamedTuple
 
 import numpy as np
@@ -21,22 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evospark.llm.common import mix, stored, word_hashes
-from evospark.llm.ngram_join import ngram_components
+from evospark.llm.common import Marks, marks, mix, stored, word_hashes
+from evospark.llm.line_classes import line_classes
 
 NGRAM = 5
 PERCENT = 75
-RECALL = 0.95
-ROWS = 2
 NEIGHBOURS = 5
 RUN_WORDS = 25
 
 
-def tuned_bands(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS) -> int:
-    """Bands of ``rows`` minima that find a pair at the similarity with at least this probability."""
-    return max(1, ceil(log(1 - recall) / log(1 - (percent / 100) ** rows)))
-
-
 class Paragraphs(NamedTuple):
     """Paragraphs of one text: first shingle in ``shingles``, fingerprint, words, bytes, place and length in the text's order."""
 
@@ -138,34 +129,16 @@ def _batch(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in zip(*held, strict=True)], names=names)
 
 
-def _distinct(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text): each distinct line once, its fingerprint as id."""
-
-    def pick(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            ids, texts = [], []
-            for text in batch.column(1).to_pylist():
-                found = whole_lines(text, n)
-                if found is None:
-                    continue
-                data = text.encode()
-                for fp, start, end in zip(found.fp.view(np.int64).tolist(), found.start.tolist(), found.end.tolist(), strict=True):
-                    if fp not in seen:
-                        seen.add(fp)
-                        ids.append(fp)
-                        texts.append(data[start:end].decode(errors="replace"))
-            if len(seen) > 1_000_000:  # the same line may then pass twice; the shuffle drops it
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return docs.mapInArrow(pick, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(fp, class) of the distinct lines."""
 
+    def lines(batch):
+        for text in batch.column(1).to_pylist():
+            found = whole_lines(text, n)
+            if found is not None:
+                yield text, found.fp, found.shingles, found.first, found.start, found.end
 
-def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(fp, class) of the distinct lines, by the exact join of their sets: every pair at the similarity is in one class."""
-    found = ngram_components(stored(_distinct(docs, n), "distinct"), n, percent)
-    return stored(found.select(F.col("doc_id").alias("fp"), F.col("component_id").alias("class")), "linked")
+    return stored(line_classes(docs, lines, n, percent), "linked")
 
 
 UNIT = ["fp", "doc_id", "place", "span", "words", "start", "stop"]
@@ -177,37 +150,24 @@ def _unit_rows(doc_id: int, found: Paragraphs) -> list[np.ndarray]:
     return [fp, np.full(len(fp), doc_id), found.place, found.span, found.words, found.start, found.end]
 
 
-def _all(docs: DataFrame, n: int, part: int) -> DataFrame:
-    """``UNIT`` rows of all lines or all chunks."""
+def _all(docs: DataFrame, n: int, part: int, wanted: Marks | None = None) -> DataFrame:
+    """``UNIT`` rows of all lines or all chunks, or of those that pass ``wanted``."""
+
+    def rows(doc_id, found):
+        columns = _unit_rows(doc_id, found)
+        return columns if wanted is None else [c[wanted(found.fp)] for c in columns]
 
     def units(batches):
-        yield from _long_batches((_unit_rows(d, found) for batch in batches for d, found in _texts(batch, n, part)), UNIT)
+        yield from _long_batches((rows(d, found) for batch in batches for d, found in _texts(batch, n, part)), UNIT)
 
     return docs.mapInArrow(units, ", ".join(f"{c} long" for c in UNIT))
 
 
 def _repeated(docs: DataFrame, n: int) -> DataFrame:
-    """``UNIT`` rows of the chunks that occur more than once: one pass over partitions sorted by fingerprint."""
-    schema = ", ".join(f"{c} long" for c in UNIT)
-
-    def runs(batches):
-        held, passed = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            fp = rows.column("fp").to_numpy()
-            same = fp[1:] == fp[:-1]
-            keep = np.zeros(len(fp), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            last = bool(keep[-1])
-            if held is not None:
-                keep[0] &= not passed
-            yield from rows.filter(pa.array(keep)).to_batches()
-            held, passed = rows.slice(len(fp) - 1).combine_chunks().to_batches()[0], last
-
-    return _all(docs, n, CHUNKS).repartition("fp").sortWithinPartitions("fp").mapInArrow(runs, schema)
+    """``UNIT`` rows of the chunks that stand in several documents, counted before their places are moved."""
+    counted = _all(docs, n, CHUNKS).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    spread = stored(counted.where("lo < hi").select("fp"), "spread_chunks")
+    return _all(docs, n, CHUNKS, marks(spread, "fp")).join(spread, "fp", "left_semi")
 
 
 def _first_kept(units: DataFrame, *order: str) -> DataFrame:

@@ -4,14 +4,16 @@ import pytest
 
 from evospark.llm import licenses, paragraph_dedup
 from evospark.llm.licenses import TEMPLATES, document_paths, licensed
-from evospark.llm.paragraph_dedup import paragraphs, repeated_passages, tuned_bands
+from evospark.llm.line_classes import tuned_bands
+from evospark.llm.paragraph_dedup import paragraphs, repeated_passages
 from tests.llm.conftest import prose, rows_of
 
 
 def test_bands_reach_the_recall():
-    for recall in (0.9, 0.99):
-        b = tuned_bands(75, recall)
-        assert 1 - (1 - 0.75**2) ** b >= recall > 1 - (1 - 0.75**2) ** (b - 1)
+    for rows in (2, 3):
+        for recall in (0.9, 0.97, 0.99):
+            b = tuned_bands(75, recall, rows)
+            assert 1 - (1 - 0.75**rows) ** b >= recall > 1 - (1 - 0.75**rows) ** (b - 1)
 
 
 def test_passages_inside_lines_are_found(documents):
@@ -77,6 +79,24 @@ def test_near_copies_in_a_crowded_bucket_are_linked(spark):
     assert {r.fp: r["class"] for r in paragraph_dedup._linked(docs, 5, 75).collect()} == brute_force_classes(sets)
 
 
+def test_recall_of_the_bands_against_brute_force(spark):
+    """Pairs just at the similarity, each in a component of its own, with production parameters."""
+    rng = random.Random(31)
+    texts, linked = [], 0
+    for _ in range(600):
+        line = prose(rng, 40, 50_000).split()
+        edited = list(line)
+        edited[rng.randrange(6, 34)] = "new"  # Jaccard 31 / 41
+        texts += [" ".join(line), " ".join(edited[:rng.choice([40, 39])])]
+    shingles = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    linked = sum(100 * len(a & b) >= 75 * len(a | b) for a, b in zip(shingles[::2], shingles[1::2], strict=True))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = paragraph_dedup._linked(docs, 5, 75)
+    assert linked >= 250
+    found = sum(1 for r in got.groupBy("class").count().collect() if r["count"] == 2)
+    assert 0.95 * linked <= found <= linked
+
+
 def test_edited_lines_are_found_with_production_parameters(documents):
     rng = random.Random(21)
     line = prose(rng, 100, 5000).split()
