@@ -5,8 +5,8 @@ A line is its set of ``n``-word shingles. Bands of ``ROWS`` minima are tuned to
 to ``CROWDED`` lines give their pairs, larger ones the pairs with their first
 line. Parities of the shingles rule out most pairs exactly, the others are
 verified on whole sets. Where a larger bucket then still holds lines of several
-components, its lines go through the exact join of ``ngram_join``, so that no
-collision stays unverified. Equal lines are one from the start.
+components, its lines go through the exact join of ``ngram_join``. So a pair of
+one bucket is verified, ruled out exactly, or in one component already. Equal lines are one from the start.
 """
 
 from __future__ import annotations
