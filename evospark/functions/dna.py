@@ -1,10 +1,17 @@
-"""DNA and protein text as Spark column expressions."""
+"""DNA and protein text as Spark column expressions.
+
+Whole texts are translated by table lookups on Arrow batches, single codons of
+an array by a JVM-side expression.
+"""
 
 from __future__ import annotations
 
+import functools
 from functools import cache
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,17 +94,58 @@ def residue(codon: Column) -> Column:
     return _residue_of_digits(_digits(codon))
 
 
-def residues(codon_array: Column) -> Column:
-    return F.transform(codon_array, residue)
+def residues(col: Column) -> Column:
+    """Array of the residues of a DNA text's codons."""
+    protein = F.arrow_udf(functools.partial(_translated, strict=False), "string", F.ArrowUDFType.SCALAR)(col)
+    return F.when(F.length(protein) > 0, F.split(protein, "")).when(protein.isNotNull(), F.array().cast("array<string>"))
+
+
+TRANSLATED_AT_ONCE = 1 << 20  # bases of a batch whose codons are looked up together
+
+
+@cache
+def _lookup() -> tuple[np.ndarray, np.ndarray]:
+    """Number of every base letter (0 for all other bytes), residue by the numbers of three bases."""
+    letters = IUPAC_DNA + "U"
+    numbers = np.zeros(256, dtype=np.int16)
+    numbers[np.frombuffer(letters.encode(), np.uint8)] = np.arange(1, len(letters) + 1)
+    known = CODE | _ambiguous_code()
+    table = [known.get("".join(c).replace("U", "T"), "X") for c in product("?" + letters, repeat=3)]
+    return numbers, np.frombuffer("".join(table).encode(), np.uint8)
+
+
+def _translated(texts: pa.Array, *, strict: bool = True) -> pa.Array:
+    """Proteins of DNA texts; NULL (or, if not ``strict``, X per codon) where a text holds another letter."""
+    numbers, table = _lookup()
+    if not strict:
+        numbers = numbers.copy()
+        numbers[np.frombuffer(b"0123", np.uint8)] = numbers[np.frombuffer(BASES.encode(), np.uint8)]  # as in ``_digits``
+        texts = pa.array([t if t is None or t.isascii() else t.encode("ascii", "replace").decode() for t in texts.to_pylist()], pa.string())
+    base = int(round(len(table) ** (1 / 3)))
+    bases = texts.cast(pa.large_binary())
+    ends = np.frombuffer(bases.buffers()[1], np.int64)[bases.offset:bases.offset + len(bases) + 1]
+    data = np.frombuffer(bases.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends) // 3
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    out, valid = np.empty(stops[-1], dtype=np.uint8), bases.is_valid().to_numpy(zero_copy_only=False).copy()
+    a = 0
+    while a < len(bases):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + TRANSLATED_AT_ONCE, side="right")) - 1)
+        letters = numbers[data[ends[a]:ends[b]]]
+        wrong = np.flatnonzero(letters == 0) if strict else np.empty(0, dtype=np.int64)
+        valid[a + np.searchsorted(ends[a:b + 1] - ends[a], wrong, side="right") - 1] = False
+        at = np.repeat(ends[a:b] - ends[a] - 3 * (stops[a:b] - stops[a]), sizes[a:b]) + 3 * np.arange(stops[b] - stops[a])
+        out[stops[a]:stops[b]] = table[(letters[at] * base + letters[at + 1]) * base + letters[at + 2]]
+        a = b
+    kept = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.StringArray.from_buffers(len(bases), pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes()), kept)
 
 
 def translate(col: Column, *, to_stop: bool = False) -> Column:
     """Protein of a DNA text (frame 0); NULL when it holds a letter that is not
     an IUPAC base."""
-    protein = F.array_join(F.transform(codons(_digits(col)), _residue_of_digits), "")
-    if to_stop:
-        protein = F.split_part(protein, F.lit("*"), F.lit(1))
-    return F.when(~col.rlike(f"[^{IUPAC_DNA}U]"), protein)
+    protein = F.arrow_udf(_translated, "string", F.ArrowUDFType.SCALAR)(col)
+    return F.split_part(protein, F.lit("*"), F.lit(1)) if to_stop else protein
 
 
 def circular_slice(dna: Column, start: Column, end: Column, *, on_equal: str = "empty") -> Column:

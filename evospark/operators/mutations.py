@@ -47,12 +47,9 @@ def _indices(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def _substitutions(wt: Column, var: Column) -> Column:
-    """Differing codons of two equally long codon arrays, classified."""
-    pairs = F.filter(
-        F.transform(wt, lambda c, i: F.struct(i.alias("i"), c.alias("w"), F.get(var, i).alias("v"))),
-        lambda p: p["w"] != p["v"],
-    )
+def _substitutions(wt: Column, var: Column, differing: Column) -> Column:
+    """The codons at the ``differing`` indices of two equally long codon arrays, classified."""
+    pairs = F.transform(differing, lambda i: F.struct(i.alias("i"), F.get(wt, i).alias("w"), F.get(var, i).alias("v")))
 
     def classified(p: Column) -> Column:
         unclear = p["v"].rlike("[^ACGT]")
@@ -135,8 +132,8 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
     # Unequal lengths: trim the common start and the common end of the proteins.
     uneven = ~F.col("_shift") & ~F.col("_equal")
     df = (
-        df.withColumn("_wa", F.when(uneven, D.residues(w)))
-        .withColumn("_va", F.when(uneven, D.residues(v)))
+        df.withColumn("_wa", F.when(uneven, D.residues(F.col("_wt"))))
+        .withColumn("_va", F.when(uneven, D.residues(F.col("_var"))))
         .withColumn("_short", F.least(F.size("_w"), F.size("_v")))
     )
 
@@ -183,7 +180,7 @@ def call_mutations(rows: DataFrame, wt: str = "wt_cds", var: str = "cds_dna") ->
         F.when(missing, F.array().cast(f"array<{MUTATION_STRUCT}>"))
         .when(F.col("_shift"), frameshift)
         .when(F.col("_move").isNotNull(), F.concat(inserted, deleted))
-        .when(F.col("_equal"), _substitutions(w, v))
+        .when(F.col("_equal"), _substitutions(w, v, F.col("_diff")))
         .otherwise(aligned)
     )
     approximate = F.coalesce(

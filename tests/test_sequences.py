@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,53 @@ def test_protein_entries(spark, tmp_path):
     assert [(r["feature_type"], r["start_position"], r["end_position"], r["evidence"]) for r in rows] == [
         ("Chain", 1, 142, "ECO:0000269"), ("Active site", None, 7, None)]
     assert storable_features(feature_table(entries)).count() == 1
+
+
+def test_long_and_odd_texts_are_translated_without_codon_lambdas(spark):
+    known = D.CODE | D._ambiguous_code()
+    rng = random.Random(5)
+    texts = [None, "", "AT", "ATGU", "AUGNNN", "ATGZ", "ATGéAA", "ATGCTN" * 400_000]
+    texts += ["".join(rng.choice(D.IUPAC_DNA + "U") for _ in range(rng.randrange(60))) for _ in range(300)]
+
+    def plain(text):
+        if text is None or set(text) - set(D.IUPAC_DNA + "U"):
+            return None
+        text = text.replace("U", "T")
+        return "".join(known.get(text[i:i + 3], "X") for i in range(0, len(text) // 3 * 3, 3))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, d string").coalesce(1).select("i", D.translate(F.col("d")).alias("p"))
+    assert {r["i"]: r["p"] for r in df.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+
+
+def best_diagonal(protein, frame):
+    size = min(Q.SEED, len(protein))
+    votes = {}
+    for a in range(len(frame) - size + 1):
+        for b in range(len(protein) - size + 1):
+            if a >= b and frame[a:a + size] == protein[b:b + size]:
+                votes[a - b] = votes.get(a - b, 0) + 1
+    if not votes:
+        return None
+    at = min(votes, key=lambda d: (-votes[d], d))
+    return {"diag": at, "same": sum(x == y for x, y in zip(frame[at:], protein))}
+
+
+def test_diagonals_equal_counted_votes(monkeypatch):
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("MKTÄ\U0001d49c"[:k]) for _ in range(rng.randint(1, 12))), "".join(rng.choice("MKT*Ä"[:k]) for _ in range(rng.randint(0, 40))))
+            for _ in range(300) for k in [rng.randint(1, 5)]]
+    proteins, frames = (pa.array(c) for c in zip(*rows))
+    expected = [best_diagonal(p, f) for p, f in rows]
+    assert Q._diagonals(proteins, frames).to_pylist() == expected
+    monkeypatch.setattr(Q, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(Q, "RESIDUES_AT_ONCE", 100)
+    assert Q._diagonals(proteins, frames).to_pylist() == expected
+
+
+def test_wild_type_location_does_not_shuffle_seeds(spark):
+    rows = [(1, "MKTAYIAKQR", "GG" + "ATGAAAACTGCTTATATTGCTAAACAACGT" + "TAACC"), (2, "MKTAYIAKQR", "CCCCCCCCCCCC"), (None, "MKT", "ATGAAAACT")]
+    found = Q.locate_wild_type(spark.createDataFrame(rows, "k int, wt_protein string, wt_plasmid string"), ["k"])
+    assert [(r["k"], r["strand"], r["cds_start"], r["match_identity_pct"]) for r in found.collect()] == [(1, "PLUS", 2, 100.0)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
