@@ -80,10 +80,10 @@ def analyse_sequences(variants: DataFrame, mappings: DataFrame, *, force: bool =
     if fallback_search:
         extracted = cut_lineage(extracted)
         weak = extracted.where(Q.needs_remap())
-        own = Q.locate_wild_type(
+        own = cut_lineage(Q.locate_wild_type(
             weak.select("variant_id", "wt_protein", "assembled_dna_sequence"), ["variant_id"],
             plasmid="assembled_dna_sequence",
-        ).withColumnRenamed("wt_cds", "_own_cds").drop("wt_protein", "match_identity_pct")
+        ).withColumnRenamed("wt_cds", "_own_cds").drop("wt_protein", "match_identity_pct"))
         again = (
             weak.select("experiment_id", "variant_id", "assembled_dna_sequence", "wt_protein", F.col("wt_cds").alias("_ref"))
             .join(own, "variant_id")
