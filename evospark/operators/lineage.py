@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from evospark.functions.coerce import index_number, not_nan
 from evospark.functions.ordering import top_k
 from evospark.operators.domains import not_synonymous, strictly_nonsynonymous
-from evospark.session import cut_lineage
+from evospark.session import cut_lineage, scratch_path
 
 
 def lineage_edges(variants: DataFrame) -> DataFrame:
@@ -232,6 +233,26 @@ def subtree(closure: DataFrame, variants: DataFrame, roots: DataFrame, max_depth
     )
 
 
+def _coded_changes(chains: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per chain row and code of a change, dealt by target, and the table of codes.
+
+    Changes pass the shuffle as one array of codes per chain row. They are exploded
+    behind it, where a grouping by (target, code) needs no other shuffle. They take
+    far more room there than in the shuffle, so the parts are not merged. The codes
+    are written once, so that Spark knows their size when it plans the joins.
+    """
+    spark = chains.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    what = ["position", "original", "mutated"]
+    path = scratch_path(spark, "changes")
+    changes.select(*what).distinct().withColumn("code", F.monotonically_increasing_id()).write.parquet(path)
+    codes = spark.read.parquet(path)
+    same = functools.reduce(lambda x, y: x & y, [changes[c].eqNullSafe(codes[c]) for c in what])
+    of_variant = changes.join(codes, same).groupBy("variant_id").agg(F.collect_set("code").alias("_codes"))
+    dealt = chains.join(of_variant, "variant_id").repartition(parts, "target_id")
+    return dealt.withColumn("code", F.explode("_codes")).drop("_codes"), codes
+
+
 def introduction_events(chains: DataFrame, mutations: DataFrame) -> DataFrame:
     """For every target and mutation on its chain: where it first appeared
     (the ancestor closest to the root)."""
@@ -239,10 +260,11 @@ def introduction_events(chains: DataFrame, mutations: DataFrame) -> DataFrame:
         "variant_id", "position", "original", "mutated"
     )
     first = F.max_by(F.struct("variant_id", "generation_number"), "depth")
+    carried, codes = _coded_changes(chains, changes)
     return (
-        chains.join(changes, "variant_id")
-        .groupBy("target_id", "position", "original", "mutated")
+        carried.groupBy("target_id", "code")
         .agg(first.alias("_first"))
+        .join(codes, "code")
         .select(
             "target_id", "position", "original", "mutated",
             F.col("_first.variant_id").alias("introduced_variant_id"),
@@ -259,8 +281,8 @@ def cumulative_trajectory(chains: DataFrame, mutations: DataFrame) -> DataFrame:
         "variant_id", "position", "original", "mutated"
     )
     new_here = (
-        chains.join(changes, "variant_id")
-        .groupBy("target_id", "position", "original", "mutated")
+        _coded_changes(chains, changes)[0]
+        .groupBy("target_id", "code")
         .agg(F.max("depth").alias("depth"))
         .groupBy("target_id", "depth")
         .agg(F.count(F.lit(1)).alias("_new"))
