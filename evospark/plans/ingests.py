@@ -251,9 +251,8 @@ from {variants} v left join {variants} p on p.experiment_id = v.experiment_id an
 where not (v.generation_number >= 2 and v.variant_id % 11 = 0)""")
 def upsert_variants(spark, sf):
     df = cut_lineage(_uploaded(spark, sf)["variants"])
-    names = df.select(F.col("variant_id").alias("parent_variant_id"), F.col("plasmid_variant_index").alias("parent_index"))
     text = F.array_join(F.array_sort(F.transform(F.map_entries("extra_metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return df.withColumn("extra_metadata", text).join(names, "parent_variant_id", "left").select(
+    return snapshots.with_parent_index(df.withColumn("extra_metadata", text)).select(
         "experiment_id", "generation_number", "plasmid_variant_index", "assembled_dna_sequence", "protein_sequence",
         "extra_metadata", "parent_index")
 

@@ -216,6 +216,16 @@ def upsert_uploads(records: DataFrame, variants: DataFrame, metrics: DataFrame)
             "cleared": cleared, "counts": counts}
 
 
+def with_parent_index(variants: DataFrame) -> DataFrame:
+    """Variants with the index of their parent (``parent_index``). Rows without a
+    parent are dealt by their own id, so they don't meet in one task."""
+    names = variants.select(
+        F.col("variant_id").alias("parent_variant_id"), F.xxhash64("variant_id").alias("_place"),
+        F.col("plasmid_variant_index").alias("parent_index"))
+    placed = variants.withColumn("_place", F.xxhash64(F.coalesce("parent_variant_id", "variant_id")))
+    return placed.join(names, ["parent_variant_id", "_place"], "left").drop("_place")
+
+
 def clear_derived(tables: dict[str, DataFrame], cleared: DataFrame) -> dict[str, DataFrame]:
     """Stored tables (mutations, sequence analysis) without the rows of re-uploaded variants."""
     return {name: df.join(cleared.select("variant_id").distinct(), "variant_id", "left_anti") for name, df in tables.items()}
