@@ -60,7 +60,7 @@ def test_trajectory_counts_codes(spark):
 
 
 def test_variants_without_parent_are_dealt_over_the_tasks(spark):
-    rows = [(1, None, "a"), (2, 1, "b"), (3, 1, "c"), (4, 2, "d"), (5, 99, "e"), (None, 2, "f")] + [(i, None, "x") for i in range(10, 200)]
+    rows = [(1, None, "a"), (2, 1, "b"), (3, 1, "c"), (4, 2, "d"), (5, 999, "e"), (None, 2, "f")] + [(i, None, "x") for i in range(10, 200)]
     variants = spark.createDataFrame(rows, "variant_id long, parent_variant_id long, plasmid_variant_index string")
     joined = snapshots.with_parent_index(variants.hint("merge"))
     got = {(r.variant_id, r.plasmid_variant_index): r.parent_index for r in joined.collect()}
