@@ -25,6 +25,22 @@ def test_registered_queries_size_their_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_shuffles_of_registered_queries_outnumber_the_sessions_partitions(spark):
+    """A session with few shuffle partitions must not set the size of a task."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    registry.register("scale_probe")(lambda spark, sf: spark.range(0, 100_000, 1, 4).groupBy(F.col("id") % 50_000).count())
+    try:
+        df = registry.QUERIES["scale_probe"](spark, "")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and ", 1000)" in _plan(df)
+        assert df.count() == 50_000 and df.rdd.getNumPartitions() < 100  # small ones are merged again
+    finally:
+        del registry.QUERIES["scale_probe"]
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 def _chains(spark):
     # 1 <- 2 <- 3, and 4 with two parents (2 and 3), as rows of repeated keys give.
     rows = [(1, 1, 0, 0), (2, 2, 0, 1), (2, 1, 1, 0), (3, 3, 0, 2), (3, 2, 1, 1), (3, 1, 2, 0),
