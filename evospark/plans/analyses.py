@@ -11,7 +11,7 @@ from evospark.plans import flows as P
 from evospark.plans.registry import register
 from evospark.plans.reports import LATEST, rounded
 from evospark.plans.views import table, view
-from evospark.session import cut_lineage
+from evospark.session import cut_lineage, many_partitions
 from evospark.sources import exports, snapshots
 
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -223,6 +223,7 @@ n as (select experiment_id, cast(count(*) as int) as size from i group by 1),
 x as (select f.variant_id, string_agg(cast(i.col as varchar(9)), ',' order by i.col) as indices from f join i on i.experiment_id = f.experiment_id and i.feature = f.feature group by 1)
 select v.experiment_id, v.variant_id, n.size, coalesce(x.indices, '') as indices from {variants} v join n on n.experiment_id = v.experiment_id left join x on x.variant_id = v.variant_id""")
 def mutation_feature_vectors(spark, sf):
+    many_partitions(spark)
     variants = view(spark, sf, "variants")
     features = E.mutation_features(variants, view(spark, sf, "mutations"), ["experiment_id"])
     return E.feature_vectors(variants, features, ["experiment_id"]).select(
@@ -230,6 +231,7 @@ def mutation_feature_vectors(spark, sf):
 
 
 def _points(spark, sf: str) -> DataFrame:
+    many_partitions(spark)
     variants = view(spark, sf, "variants")
     features = E.mutation_features(variants, view(spark, sf, "mutations"), ["experiment_id"], "position")
     return E.pca_points(variants, features, ["experiment_id"])
@@ -246,6 +248,7 @@ from {variants} v group by 1""")
 def pca_invariants(spark, sf):
     """What makes points principal: zero means, no correlation, and both axes are eigenvectors (the squared products
     of a coordinate with the features add up to the square of its own sum of squares)."""
+    many_partitions(spark)
     variants = view(spark, sf, "variants")
     features = cut_lineage(E.mutation_features(variants, view(spark, sf, "mutations"), ["experiment_id"], "position"))
     points = cut_lineage(E.pca_points(variants, features, ["experiment_id"]))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evospark.operators import lineage as L
 from evospark.plans import registry
+from evospark.session import many_partitions
 from evospark.sources import snapshots
 
 
@@ -30,13 +31,14 @@ def test_shuffles_of_registered_queries_outnumber_the_sessions_partitions(spark)
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     before = spark.conf.get(name, None)
     spark.conf.unset(name)
-    registry.register("scale_probe")(lambda spark, sf: spark.range(0, 100_000, 1, 4).groupBy(F.col("id") % 50_000).count())
+    registry.register("scale_probe")(lambda spark, sf: many_partitions(spark).range(0, 100_000, 1, 4).groupBy(F.col("id") % 50_000).count())
     try:
         df = registry.QUERIES["scale_probe"](spark, "")
         assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and ", 1000)" in _plan(df)
         assert df.count() == 50_000 and df.rdd.getNumPartitions() < 100  # small ones are merged again
     finally:
         del registry.QUERIES["scale_probe"]
+        spark.conf.unset(name)
         if before is not None:
             spark.conf.set(name, before)
 
