@@ -35,8 +35,8 @@ def tuned_bands(percent: int, recall: float = RECALL, rows: int = ROWS) -> int:
     return max(1, ceil(log(1 - recall) / log(1 - (percent / 100) ** rows)))
 
 
-#: Yields (text, fingerprints, shingles, first shingle of each line, start and end bytes) per text of a batch.
-Lines = Callable[[pa.RecordBatch], Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+#: Yields (bytes, fingerprints, shingles, first shingle of each line, starts and ends in the bytes) per group of a batch's texts.
+Lines = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], lines: Lines, wanted: Marks | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -45,27 +45,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], lines: Lines, wanted: Marks | Non
     fps, parts, counts, total = [], [], [], 0
 
     def block():
-        owner = np.repeat(np.arange(len(fps)), counts)
+        size = np.concatenate(counts)
+        owner = np.repeat(np.arange(len(size)), size)
         elements = np.concatenate(parts)
         order = np.lexsort((elements, owner))
         owner, elements = owner[order], elements[order]
         new = np.ones(len(owner), dtype=bool)
         new[1:] = (owner[1:] != owner[:-1]) | (elements[1:] != elements[:-1])
-        return np.array(fps, dtype=np.int64), np.bincount(owner[new], minlength=len(fps)), elements[new]
+        return np.concatenate(fps), np.bincount(owner[new], minlength=len(size)), elements[new]
 
     for batch in batches:
         for _, fp, shingles, first, _, _ in lines(batch):
-            stops = np.append(first[1:], len(shingles))
-            chosen = range(len(fp)) if wanted is None else np.flatnonzero(wanted(fp)).tolist()
-            ids = fp.view(np.int64).tolist()
-            for i in chosen:
-                if ids[i] in seen:
-                    continue
-                seen.add(ids[i])
-                fps.append(ids[i])
-                parts.append(shingles[first[i]:stops[i]])
-                counts.append(len(parts[-1]))
-                total += counts[-1]
+            size = np.diff(np.append(first, len(shingles)))
+            chosen = np.arange(len(fp)) if wanted is None else np.flatnonzero(wanted(fp))
+            ids, at = np.unique(fp.view(np.int64)[chosen], return_index=True)
+            new = np.array([i not in seen for i in ids.tolist()], dtype=bool)
+            if not new.any():
+                continue
+            ids, chosen = ids[new], chosen[at[new]]
+            seen.update(ids.tolist())
+            fps.append(ids)
+            counts.append(size[chosen])
+            total += (more := int(counts[-1].sum()))
+            start = np.cumsum(counts[-1]) - counts[-1]
+            parts.append(shingles[np.repeat(first[chosen] - start, counts[-1]) + np.arange(more)])
             if total >= BLOCK:
                 yield block()
                 fps, parts, counts, total = [], [], [], 0
@@ -120,11 +123,10 @@ def _line_texts(rows: DataFrame, lines: Lines, wanted: DataFrame) -> DataFrame:
     def pick(batches):
         for batch in batches:
             ids, texts = [], []
-            for text, fp, _, _, start, end in lines(batch):
+            for data, fp, _, _, start, end in lines(batch):
                 chosen = np.flatnonzero(live(fp)).tolist()
-                data = text.encode() if chosen else b""
                 ids += fp.view(np.int64)[chosen].tolist()
-                texts += [data[start[i]:end[i]].decode(errors="replace") for i in chosen]
+                texts += [data[start[i]:end[i]].tobytes().decode(errors="replace") for i in chosen]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["fp", "text"])
 
     found = rows.mapInArrow(pick, "fp long, text string").join(wanted, "fp", "left_semi")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evospark.llm.common import Marks, marks, mix, stored, word_hashes
+from evospark.llm.common import Marks, Words, marks, mix, stored, word_blocks
 from evospark.llm.line_classes import line_classes
 
 NGRAM = 5
@@ -28,50 +28,68 @@ NEIGHBOURS = 5
 RUN_WORDS = 25
 
 
+LINES, CHUNKS = 0, 1
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_MOST = np.uint64(2**64 - 1)
+
+
 class Paragraphs(NamedTuple):
-    """Paragraphs of one text: first shingle in ``shingles``, fingerprint, words, bytes, place and length in the text's order."""
+    """Paragraphs of texts: first shingle in ``shingles``, fingerprint, words, row of the text, bytes, place and length in the text's order."""
 
     shingles: np.ndarray
     first: np.ndarray
     fp: np.ndarray
     words: np.ndarray
+    row: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    place: np.ndarray
-    span: np.ndarray
+    place: np.ndarray | None
+    span: np.ndarray | None
 
 
-def split(text: str | None, n: int = NGRAM) -> tuple[Paragraphs | None, Paragraphs | None]:
-    """Lines and chunks of ``n`` words or more of a whole text; None where there are none.
+def found_in(block: Words, n: int, part: int, placed: bool = True) -> Paragraphs | None:
+    """Lines or chunks of ``n`` words or more of a group of texts; None where there are none.
 
-    Places number the chunks, and the lines without any, in the text's order; a
-    line has the place of its first chunk and spans all of them.
+    The texts are handled together, but nothing crosses from one to the next.
+    Places number the chunks, and the lines without any, in each text's order; a
+    line has the place of its first chunk and spans all of them. Lines that need
+    no place are found without their chunks.
     """
-    data = (text or "").encode()
-    hashes, start, end = word_hashes(data)
-    if len(hashes) < n:
-        return None, None
-    pair = mix(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[1:])
-    padded = np.pad(pair, NEIGHBOURS, constant_values=np.uint64(2**64 - 1))
-    around = np.lib.stride_tricks.sliding_window_view(padded, NEIGHBOURS)
-    before, after = around[:len(pair)].min(axis=1), around[NEIGHBOURS + 1:NEIGHBOURS + 1 + len(pair)].min(axis=1)
-    opens = np.zeros(len(hashes), dtype=bool)
-    opens[:-1] = (pair < before) & (pair <= after)
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start)
-    breaks = np.ones(len(hashes), dtype=bool)
-    breaks[1:] = line[1:] != line[:-1]
-    run = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        run = run * np.uint64(0xD6E8FEB86659FD93) + hashes[i:i + len(run)]
-    run = mix(run + np.uint64(n))
-    (line_first, line_words), (first, words) = (_long(opened, n) for opened in (breaks, opens | breaks))
+    if len(block.hashes) < n:
+        return None
+    breaks = np.zeros(len(block.hashes) + 1, dtype=bool)
+    breaks[block.first] = True
+    breaks = breaks[:-1]
+    line = np.searchsorted(np.flatnonzero(block.data == 10), block.start)
+    breaks[1:] |= line[1:] != line[:-1]
+    line_first, line_words = _long(breaks, n)
+    if part == LINES and not placed:
+        return _units(block, line_first, line_words, n)
+    first, words = _long(_opens(block) | breaks, n)
     lo, hi = np.searchsorted(first, line_first), np.searchsorted(first, line_first + line_words)
     bare = lo == hi
-    skipped = np.cumsum(bare)
-    line_place = lo + skipped - bare
-    place = np.arange(len(first)) + np.append(0, skipped)[np.searchsorted(line_first, first, side="right")]
-    return (_units(run, start, end, line_first, line_words, line_place, np.maximum(hi - lo, 1), n),
-            _units(run, start, end, first, words, place, np.ones(len(first), np.int64), n))
+    skipped = np.append(0, np.cumsum(bare))
+    # Chunks and bare lines of the texts before.
+    passed = np.searchsorted(first, block.first) + skipped[np.searchsorted(line_first, block.first)]
+    if part == LINES:
+        return _units(block, line_first, line_words, n, passed, lo + skipped[:-1], np.maximum(hi - lo, 1))
+    place = np.arange(len(first)) + skipped[np.searchsorted(line_first, first, side="right")]
+    return _units(block, first, words, n, passed, place, np.ones(len(first), np.int64))
+
+
+def _opens(block: Words) -> np.ndarray:
+    """Whether a chunk may begin at a word: its pair's hash is the least among its neighbours in the text."""
+    pair = np.full(len(block.hashes), _MOST)
+    pair[:-1] = mix(block.hashes[:-1] * _STEP + block.hashes[1:])
+    pair[block.first[1:][block.first[1:] > 0] - 1] = _MOST  # the last word of a text begins no pair
+    texts = len(block.first) - 1
+    slot = np.arange(len(pair)) + NEIGHBOURS * np.repeat(np.arange(1, texts + 1), np.diff(block.first))
+    padded = np.full(len(pair) + NEIGHBOURS * (texts + 1), _MOST)
+    padded[slot] = pair
+    least = padded[:len(padded) - NEIGHBOURS + 1].copy()
+    for i in range(1, NEIGHBOURS):
+        np.minimum(least, padded[i:i + len(least)], out=least)
+    return (pair < least[slot - NEIGHBOURS]) & (pair <= least[slot + 1])
 
 
 def _long(opens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +99,30 @@ def _long(opens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first[words >= n], words[words >= n]
 
 
-def _units(run: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, words: np.ndarray, place: np.ndarray,
-           span: np.ndarray, n: int) -> Paragraphs | None:
+def _units(block: Words, first: np.ndarray, words: np.ndarray, n: int, passed: np.ndarray | None = None,
+           place: np.ndarray | None = None, span: np.ndarray | None = None) -> Paragraphs | None:
     if not len(first):
         return None
+    run = np.zeros(len(block.hashes) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        run *= _STEP
+        run += block.hashes[i:i + len(run)]
+    run = mix(run + np.uint64(n))
     counts = words - n + 1
     at = np.cumsum(counts) - counts
     shingles = run[np.repeat(first - at, counts) + np.arange(counts.sum())]
     fp = mix(np.add.reduceat(mix(shingles + np.uint64(0x51ED270B)), at) + words.astype(np.uint64))
-    return Paragraphs(shingles, at, fp, words, start[first], end[first + words - 1], place, span)
+    row = np.searchsorted(block.first, first, side="right") - 1
+    cut = block.cuts[row]
+    if place is not None:
+        place = place - passed[row]
+    return Paragraphs(shingles, at, fp, words, row + block.at, block.start[first] - cut, block.end[first + words - 1] - cut, place, span)
+
+
+def split(text: str | None, n: int = NGRAM) -> tuple[Paragraphs | None, Paragraphs | None]:
+    """Lines and chunks of ``n`` words or more of a whole text; None where there are none."""
+    block = next(word_blocks(pa.array([text], pa.large_string())))
+    return found_in(block, n, LINES), found_in(block, n, CHUNKS)
 
 
 def whole_lines(text: str | None, n: int = NGRAM) -> Paragraphs | None:
@@ -106,13 +139,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def _texts(batch: pa.RecordBatch, n: int, part: int) -> Iterator[tuple[int, Paragraphs]]:
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        found = split(text, n)[part]
-        if found is not None:
-            yield doc_id, found
-
-
 def _long_batches(rows: Iterator[list[np.ndarray]], names: list[str], size: int = 50_000) -> Iterator[pa.RecordBatch]:
     held, count = [], 0
     for row in rows:
@@ -133,39 +159,43 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(fp, class) of the distinct lines."""
 
     def lines(batch):
-        for text in batch.column(1).to_pylist():
-            found = whole_lines(text, n)
+        for block in word_blocks(batch.column(1)):
+            found = found_in(block, n, LINES, placed=False)
             if found is not None:
-                yield text, found.fp, found.shingles, found.first, found.start, found.end
+                cut = block.cuts[found.row - block.at]
+                yield block.data, found.fp, found.shingles, found.first, found.start + cut, found.end + cut
 
     return stored(line_classes(docs, lines, n, percent), "linked")
 
 
 UNIT = ["fp", "doc_id", "place", "span", "words", "start", "stop"]
-LINES, CHUNKS = 0, 1
-
 
-def _unit_rows(doc_id: int, found: Paragraphs) -> list[np.ndarray]:
-    fp = found.fp.view(np.int64)
-    return [fp, np.full(len(fp), doc_id), found.place, found.span, found.words, found.start, found.end]
 
+def _unit_batches(batches: Iterator[pa.RecordBatch], n: int, part: int, wanted: Marks | None = None, names: list[str] = UNIT) -> Iterator[pa.RecordBatch]:
+    """The columns ``names`` of all lines or all chunks of (doc_id, text) batches, or of those that pass ``wanted``."""
 
-def _all(docs: DataFrame, n: int, part: int, wanted: Marks | None = None) -> DataFrame:
-    """``UNIT`` rows of all lines or all chunks, or of those that pass ``wanted``."""
+    def rows():
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for block in word_blocks(batch.column(1)):
+                found = found_in(block, n, part)
+                if found is None:
+                    continue
+                chosen = slice(None) if wanted is None else wanted(found.fp)
+                columns = found.fp.view(np.int64), ids[found.row], found.place, found.span, found.words, found.start, found.end
+                yield [c[chosen] for c in columns[:len(names)]]
 
-    def rows(doc_id, found):
-        columns = _unit_rows(doc_id, found)
-        return columns if wanted is None else [c[wanted(found.fp)] for c in columns]
+    return _long_batches(rows(), names)
 
-    def units(batches):
-        yield from _long_batches((rows(d, found) for batch in batches for d, found in _texts(batch, n, part)), UNIT)
 
-    return docs.mapInArrow(units, ", ".join(f"{c} long" for c in UNIT))
+def _all(docs: DataFrame, n: int, part: int, wanted: Marks | None = None, names: list[str] = UNIT) -> DataFrame:
+    """``names`` (the first of ``UNIT``) of all lines or all chunks, or of those that pass ``wanted``."""
+    return docs.mapInArrow(lambda batches: _unit_batches(batches, n, part, wanted, names), ", ".join(f"{c} long" for c in names))
 
 
 def _repeated(docs: DataFrame, n: int) -> DataFrame:
     """``UNIT`` rows of the chunks that stand in several documents, counted before their places are moved."""
-    counted = _all(docs, n, CHUNKS).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    counted = _all(docs, n, CHUNKS, names=UNIT[:2]).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     spread = stored(counted.where("lo < hi").select("fp"), "spread_chunks")
     return _all(docs, n, CHUNKS, marks(spread, "fp")).join(spread, "fp", "left_semi")
 

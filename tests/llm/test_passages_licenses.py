@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from evospark.llm import licenses, paragraph_dedup
+from evospark.llm.common import mix, word_hashes
 from evospark.llm.licenses import TEMPLATES, document_paths, licensed
 from evospark.llm.line_classes import tuned_bands
 from evospark.llm.paragraph_dedup import paragraphs, repeated_passages
@@ -126,6 +129,47 @@ def test_lines_and_chunks_share_one_order():
         assert places == set(range(len(places)))
 
 
+def test_texts_of_a_batch_are_split_together(monkeypatch):
+    """A batch's units are those of its texts one by one, with hashing calls for the batch and not for each text."""
+    rng = random.Random(13)
+    texts = ["\n".join(prose(rng, rng.choice([0, 1, 4, 5, 6, 30]), 7) for _ in range(rng.randrange(5))) for _ in range(1500)]
+    texts[::50] = [None, "", " \n\t", "a b c", "é ü\xa0ß x y z"] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 1600)), pa.array(texts)], names=["doc_id", "text"])
+    for part in (paragraph_dedup.LINES, paragraph_dedup.CHUNKS):
+        alone = []
+        for doc_id, text in enumerate(texts, 100):
+            found = paragraph_dedup.split(text)[part]
+            if found is not None:
+                alone += zip(found.fp.view("int64").tolist(), [doc_id] * len(found.fp),
+                             *(c.tolist() for c in (found.place, found.span, found.words, found.start, found.end)), strict=True)
+        calls, mix = [], paragraph_dedup.mix
+        with monkeypatch.context() as patch:
+            patch.setattr(paragraph_dedup, "mix", lambda x: calls.append(1) or mix(x))
+            got = pa.Table.from_batches(paragraph_dedup._unit_batches(iter([batch]), 5, part))
+        assert len(alone) > 1000 and list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == alone
+        assert len(calls) < 10
+        few = pa.Table.from_batches(paragraph_dedup._unit_batches(iter([batch]), 5, part, lambda fp: fp % np.uint64(3) == 0, paragraph_dedup.UNIT[:2]))
+        assert list(zip(*(c.to_pylist() for c in few.columns), strict=True)) == [u[:2] for u in alone if u[0] % 2**64 % 3 == 0]
+
+
+def test_chunks_against_plain_windows():
+    rng = random.Random(17)
+    for _ in range(60):
+        text = "\n".join(prose(rng, rng.choice([3, 8, 40]), 30) for _ in range(rng.randrange(1, 5)))
+        hashes = word_hashes(text.encode())[0]
+        pair = mix(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[1:]).tolist()
+        near = paragraph_dedup.NEIGHBOURS
+        opens = [all(p < q for q in pair[max(0, i - near):i]) and all(p <= q for q in pair[i + 1:i + 1 + near]) for i, p in enumerate(pair)]
+        at, sizes = 0, []
+        for line in text.split("\n"):
+            words, to = line.split(), at + len(line.split())
+            cuts = [at, *(i for i in range(at + 1, to) if i < len(opens) and opens[i]), to]
+            sizes += [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a >= 5]
+            at += len(words)
+        found = paragraphs(text)
+        assert ([] if found is None else found.words.tolist()) == sizes
+
+
 def test_paragraphs_shift_with_their_passage():
     rng = random.Random(1)
     p = prose(rng, 80, 5000)
