@@ -12,6 +12,7 @@ from evospark.functions.once import evaluated_once
 from evospark.session import spread
 from evospark.schemas import MUTATION_STRUCT
 
+COUNT_METRICS = ["mutation_synonymous_count", "mutation_nonsynonymous_count", "mutation_total_count"]
 NONSYNONYMOUS_KINDS = ["NONSYNONYMOUS", "NONSENSE", "INSERTION", "DELETION"]
 
 
@@ -261,12 +262,15 @@ def count_metric_rows(guarded: DataFrame) -> DataFrame:
         F.col("mutation_counts.total").cast("double").alias("mutation_total_count"),
     )
     return wide.unpivot(
-        ["variant_id"],
-        ["mutation_synonymous_count", "mutation_nonsynonymous_count", "mutation_total_count"],
-        "metric_name", "value",
+        ["variant_id"], COUNT_METRICS, "metric_name", "value",
     ).select("variant_id", "metric_name", F.lit("derived").alias("metric_type"), "value", F.lit("count").alias("unit"))
 
 
+def is_count_metric() -> Column:
+    """Of the metric rows that ``count_metric_rows`` makes."""
+    return F.col("metric_name").isin(COUNT_METRICS) & (F.col("metric_type") == "derived")
+
+
 def mutation_rows(guarded: DataFrame) -> DataFrame:
     """One row per called mutation."""
     return guarded.select("variant_id", F.explode("mutations").alias("_m")).select("variant_id", "_m.*")

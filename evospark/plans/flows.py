@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,26 +41,43 @@ def pending_variants(variants: DataFrame, analyses: DataFrame | None = None, *,
     return todo if analyses is None else todo.join(analyses.select("variant_id"), "variant_id", "left_anti")
 
 
+STORED_OF_A_RUN = [
+    "experiment_id", "variant_id", "strand", "frame", "cds_start", "cds_end", "cds_dna", "protein_aa", "has_frameshift", "has_premature_stop",
+    "has_ambiguous_bases", "qc_notes", "mutations", "mutation_counts"]
+"""What the stored tables take from a run's rows; its plasmids and wild types are stored already."""
+
+
 def store_sequence_run(guarded: DataFrame, variants: DataFrame, mutations: DataFrame, metrics: DataFrame,
-                       analyses: DataFrame, experiments: DataFrame, definitions: DataFrame) -> dict[str, DataFrame]:
+                       analyses: DataFrame, experiments: DataFrame, definitions: DataFrame, *,
+                       keep: Callable[[DataFrame], DataFrame] = cut_lineage,
+                       owned: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> dict[str, DataFrame]:
     """The stored tables after a sequence run: proteins and analysis in
     ``variants``, the run's ``mutations``, count ``metrics`` with their definition,
-    ``analyses`` and the status of the ``experiments``. Rows of other variants stay."""
-    guarded = cut_lineage(guarded)
+    ``analyses`` and the status of the ``experiments``. Rows of other variants stay.
+
+    ``keep`` stores the run's rows until the tables are written. ``owned`` adds what mutations and analyses have of
+    their variant; it is a join by variant, put where the rows are dealt by variant already."""
+    guarded = keep(guarded.select(*STORED_OF_A_RUN))
     done = guarded.select("variant_id")
     found = guarded.select("variant_id", F.col("protein_aa").alias("_protein"), F.struct("mutations", "mutation_counts").alias("_analysis"), F.lit(True).alias("_ran"))
     columns = {"protein_sequence": F.when(F.col("_ran"), F.col("_protein")).otherwise(F.col("protein_sequence"))}
     if "sequence_analysis" in variants.columns:
         columns["sequence_analysis"] = F.when(F.col("_ran"), F.col("_analysis")).otherwise(F.col("sequence_analysis"))
     called = snapshots.acceptable_mutations(U.mutation_rows(guarded))
-    kept = mutations.join(done, "variant_id", "left_anti")
-    counted = snapshots.upsert_variant_metrics(metrics, U.count_metric_rows(guarded), variants)
+    kept = owned(mutations.join(done, "variant_id", "left_anti"))
+    fresh = called.repartition("variant_id").dropDuplicates(snapshots.MUTATION_KEYS)  # dealt as ``owned`` needs it
+    # The run's variants have no row in ``kept``: only rows without a variant may be stored already.
+    homeless = mutations.where("variant_id is null")
+    if not homeless.isEmpty():
+        fresh = snapshots.without_keys(fresh, homeless, snapshots.MUTATION_KEYS)
+    counted = snapshots.upsert_complete_metrics(metrics, U.count_metric_rows(guarded), variants, done, U.is_count_metric())
+    analysed = U.analysis_rows(guarded)
     status = U.run_status(guarded).withColumnRenamed("status", "_status")
     return {
         "variants": variants.join(found, "variant_id", "left").withColumns(columns).select(*variants.columns),
-        "mutations": snapshots.write_mutations(kept, called, overwrite=False),
+        "mutations": kept.unionByName(owned(fresh), allowMissingColumns=True),
         "metrics": M.fill_definition_ids(counted, definitions),
-        "analyses": snapshots.merge_snapshot(analyses, U.analysis_rows(guarded), ["variant_id"]),
+        "analyses": owned(analysed).unionByName(owned(snapshots.without_keys(analyses, done, ["variant_id"])), allowMissingColumns=True),
         "experiments": experiments.join(status, "experiment_id", "left").withColumn(
             "status", F.coalesce("_status", "status")).drop("_status"),
     }
@@ -66,21 +85,22 @@ def store_sequence_run(guarded: DataFrame, variants: DataFrame, mutations: DataF
 
 def analyse_sequences(variants: DataFrame, mappings: DataFrame, *, force: bool = False,
                       stop_policy: str = "truncate", fallback_search: bool = True,
-                      analyses: DataFrame | None = None) -> DataFrame:
+                      analyses: DataFrame | None = None,
+                      keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Extract, translate and compare every pending variant of all experiments.
 
     ``mappings`` holds the wild-type mapping per experiment. Variants whose
     extraction is unreliable are searched once more with a mapping found in the
-    variant's own plasmid.
+    variant's own plasmid. ``keep`` stores what is used more than once.
     """
     todo = pending_variants(variants, analyses, force=force).select("experiment_id", "variant_id", "assembled_dna_sequence")
     mapping = mappings.select("experiment_id", "strand", "frame", "cds_start", "cds_end", "wt_cds", "wt_protein")
     extracted = Q.extract_cds(todo.join(mapping, "experiment_id"), stop_policy)
     # The wild-type CDS stays the reference even when a variant is remapped.
     if fallback_search:
-        extracted = cut_lineage(extracted)
+        extracted = keep(extracted)
         weak = extracted.where(Q.needs_remap())
-        own = cut_lineage(Q.locate_wild_type(
+        own = keep(Q.locate_wild_type(
             weak.select("variant_id", "wt_protein", "assembled_dna_sequence"), ["variant_id"],
             plasmid="assembled_dna_sequence",
         ).withColumnRenamed("wt_cds", "_own_cds").drop("wt_protein", "match_identity_pct"))
@@ -90,7 +110,12 @@ def analyse_sequences(variants: DataFrame, mappings: DataFrame, *, force: bool =
             .withColumnRenamed("_own_cds", "wt_cds")
         )
         remapped = Q.extract_cds(again, stop_policy).drop("wt_cds").withColumnRenamed("_ref", "wt_cds")
-        extracted = extracted.join(own.select("variant_id"), "variant_id", "left_anti").unionByName(remapped)
+        mapped = own.select("variant_id")
+        good = extracted.where(~F.coalesce(Q.needs_remap(), F.lit(False)))
+        # Rows that were good move only if one of them shares its id with a remapped one.
+        if not good.select("variant_id").join(mapped, "variant_id", "left_semi").isEmpty():
+            good = good.join(mapped, "variant_id", "left_anti")
+        extracted = good.unionByName(weak.join(mapped, "variant_id", "left_anti")).unionByName(remapped)
     return U.guard_profiles(U.call_mutations(extracted))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evospark.operators import metrics as M, qc
 from evospark.plans import flows
 from evospark.schemas import METRIC_DEFINITIONS, struct_of
-from evospark.session import cut_lineage
+from evospark.session import SIZES_IN_MEMORY, Scratch, cut_lineage, settings
 from evospark.sources import snapshots, uploads
 from evospark.sources.stores import CampaignStore, Version
 
@@ -144,23 +144,25 @@ def run_sequences(store: CampaignStore, mappings: DataFrame, *, force: bool = Fa
     as it was; run again, it does the same work.
     """
     base = store.head()
-    todo = cut_lineage(flows.pending_variants(store.read("variants", base), store.read("variant_sequence_analysis", base), force=force)
-                       .select("experiment_id", "variant_id"))
-    parts = store.parts_of(todo, base)
-    if not parts:
-        return base
-    old = {t: store.read(t, base, parts) for t in TABLES}
-    pending = old["variants"].join(todo.select("variant_id"), "variant_id", "left_semi")
-    guarded = cut_lineage(flows.analyse_sequences(pending, mappings, force=True, **options))
-    found = flows.store_sequence_run(guarded, old["variants"], old["mutations"], old["metrics"], old["variant_sequence_analysis"],
-                                     old["experiments"], definitions or metric_definitions(store))
-    changes = {
-        "variants": found["variants"], "experiments": found["experiments"],
-        "mutations": _by_variant(found["mutations"], old["variants"]),
-        "variant_sequence_analysis": _by_variant(found["analyses"], old["variants"]),
-        "metrics": _by_generation(found["metrics"], old["generations"]),
-    }
-    return store.commit(base, {t: df.select(*old[t].columns) for t, df in changes.items()}, parts)
+    with Scratch(store.spark) as run, settings(store.spark, SIZES_IN_MEMORY):
+        todo = run.keep(flows.pending_variants(store.read("variants", base), store.read("variant_sequence_analysis", base), force=force)
+                        .select("experiment_id", "variant_id"))
+        parts = store.parts_of(todo, base)
+        if not parts:
+            return base
+        old = {t: store.read(t, base, parts) for t in TABLES}
+        pending = old["variants"].join(todo.select("variant_id"), "variant_id", "left_semi")
+        with Scratch(store.spark) as steps:
+            found = flows.store_sequence_run(
+                flows.analyse_sequences(pending, mappings, force=True, keep=steps.keep, **options), old["variants"], old["mutations"],
+                old["metrics"], old["variant_sequence_analysis"], old["experiments"], definitions or metric_definitions(store),
+                keep=run.keep, owned=lambda rows: _by_variant(rows, old["variants"]))
+        changes = {
+            # Written in this order: the largest shuffle first, while the disk holds least.
+            "mutations": found["mutations"], "variant_sequence_analysis": found["analyses"],
+            "metrics": _by_generation(found["metrics"], old["generations"]), "variants": found["variants"], "experiments": found["experiments"],
+        }
+        return store.commit(base, {t: df.select(*old[t].columns) for t, df in changes.items()}, parts)
 
 
 def store_scores(store: CampaignStore, mode: str = "auto", definitions: DataFrame | None = None, **options) -> Version:

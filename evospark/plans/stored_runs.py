@@ -9,7 +9,7 @@ from evospark.plans import stored_flows
 from evospark.plans.analyses import CDS, _mappings
 from evospark.plans.registry import register
 from evospark.plans.views import view
-from evospark.session import scratch_path
+from evospark.session import many_partitions, scratch_path
 from evospark.sources.stores import CampaignStore, Version
 
 DONE = "generation_number <= 2"
@@ -68,14 +68,14 @@ left join a on a.experiment_id = e.experiment_id left join m on m.experiment_id
 
 @register("stored_sequence_run", "with " + CDS + RUN)
 def stored_sequence_run(spark, sf):
-    store, _ = _campaign(spark, sf)
+    store, _ = _campaign(many_partitions(spark), sf)
     return _contents(store, stored_flows.run_sequences(store, _mappings(spark, sf)))
 
 
 @register("stored_sequence_rerun", "with " + CDS + RUN)
 def stored_sequence_rerun(spark, sf):
     """The second run finds nothing to do: same version, same contents."""
-    store, _ = _campaign(spark, sf)
+    store, _ = _campaign(many_partitions(spark), sf)
     stored_flows.run_sequences(store, _mappings(spark, sf))
     return _contents(store, stored_flows.run_sequences(store, _mappings(spark, sf)))
 

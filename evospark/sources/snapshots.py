@@ -42,16 +42,29 @@ def replace_where(old: DataFrame, new: DataFrame, condition: Column) -> DataFram
     return old.where(~F.coalesce(condition, F.lit(False))).unionByName(new, allowMissingColumns=True)
 
 
-def upsert_variant_metrics(metrics: DataFrame, rows: DataFrame, variants: DataFrame) -> DataFrame:
-    """Upsert by (variant, name, type); the generation comes from the variant."""
+def variant_metrics(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """Metric rows with their key; the generation comes from the variant."""
     gens = variants.select("variant_id", F.col("generation_id").alias("_gen"))
-    filled = (
+    return (
         rows.join(gens, "variant_id", "left")
         .withColumn("generation_id", F.coalesce("_gen", "generation_id") if "generation_id" in rows.columns else F.col("_gen"))
         .withColumn("metric_id", surrogate(F.lit("metric"), "variant_id", "metric_name", "metric_type"))
         .drop("_gen")
     )
-    return merge_snapshot(metrics, filled, ["variant_id", "metric_name", "metric_type"])
+
+
+def upsert_variant_metrics(metrics: DataFrame, rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """Upsert by (variant, name, type); the generation comes from the variant."""
+    return merge_snapshot(metrics, variant_metrics(rows, variants), ["variant_id", "metric_name", "metric_type"])
+
+
+def upsert_complete_metrics(metrics: DataFrame, rows: DataFrame, variants: DataFrame, done: DataFrame, replaced: Column) -> DataFrame:
+    """``upsert_variant_metrics`` of rows that hold, for every variant in ``done``, each (name, type) that ``replaced``
+    is true for, and nothing else: only such stored rows move, by their variant; the others stay where they are."""
+    counts = F.coalesce(replaced, F.lit(False))
+    new = variant_metrics(rows, variants)
+    return (new.unionByName(without_keys(metrics.where(counts), done, ["variant_id"]), allowMissingColumns=True)
+            .unionByName(metrics.where(~counts), allowMissingColumns=True))
 
 
 def acceptable_mutations(called: DataFrame, scope: str = "protein") -> DataFrame:
@@ -75,10 +88,13 @@ def acceptable_mutations(called: DataFrame, scope: str = "protein") -> DataFrame
     )
 
 
+MUTATION_KEYS = ["variant_id", "mutation_type", "position", "original", "mutated"]
+
+
 def write_mutations(old: DataFrame, new: DataFrame, *, overwrite: bool) -> DataFrame:
     """Store mutation rows. ``overwrite`` drops all old rows of the variant and
     type first; otherwise existing rows stay."""
-    keys = ["variant_id", "mutation_type", "position", "original", "mutated"]
+    keys = MUTATION_KEYS
     new = new.dropDuplicates(keys)
     if overwrite:
         return new.unionByName(without_keys(old, new, ["variant_id", "mutation_type"]), allowMissingColumns=True)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evospark.session import SHUFFLES_GO, settings
 from evospark.sources.snapshots import merge_snapshot
 
 PARTS = 256
@@ -120,7 +121,8 @@ class CampaignStore:
         run = uuid.uuid4().hex
         for table, rows in changes.items():
             below = f"{table}/run={run}"
-            self._placed(rows, base).write.partitionBy("part").parquet(f"{self.root}/{below}")
+            with settings(rows.sparkSession, SHUFFLES_GO):
+                self._placed(rows, base).write.partitionBy("part").option("compression", "zstd").parquet(f"{self.root}/{below}")
             written = {int(n.removeprefix("part=")): f"{below}/{n}" for n in self._names(below) if n.startswith("part=")}
             if parts is not None and not written.keys() <= set(parts):
                 raise ValueError(f"{table} has rows outside the buckets it was to change")
